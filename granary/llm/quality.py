@@ -9,7 +9,7 @@ grouped sum, and its size depends on groups and grid, not on documents.
 A group's sketch is merged with ``prior`` documents' weight of its language's, which steadies
 small groups. The upper limit of a measure is q50 + reach * max(q75 - q50, floor), the lower
 one, for word length alone, q50 - reach * max(q50 - q25, floor). Short documents get
-``slack`` / words on top, since their measures are noisy. The limits are joined back and
+``slack`` / words on top, since their measures are noisy, repeats most. The limits are joined back and
 documents beyond one of them go.
 
 Defined results: null language and source are groups like any other. A null text, or one without
@@ -40,7 +40,7 @@ class Rules:
     prior: int = 50
     reach: int = 6
     floors: tuple[int, ...] = (10, 10, 15, 40)
-    slack: int = 3000
+    slack: tuple[int, ...] = (3000, 3000, 9000, 3000)
 
 
 _SPACE = np.zeros(256, bool)
@@ -143,11 +143,10 @@ def accept(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     bounds = bounds.toDF(blang, bsource, *hs, low)
     rows = measured(docs, text_col, names[:5])
     joined = rows.join(bounds, F.col(lang_col).eqNullSafe(F.col(blang)) & F.col(source_col).eqNullSafe(F.col(bsource)), "left")
-    slack = F.expr(f"{rules.slack} div greatest({words}, 1)")
-    bad = F.lit(False)
-    for m, h in zip(ms, hs, strict=True):
-        bad = bad | (F.col(m) > F.col(h) + slack)
-    bad = bad | (F.col(ms[3]) < F.col(low) - slack)
+    slack = [F.expr(f"{s} div greatest({words}, 1)") for s in rules.slack]
+    bad = F.col(ms[3]) < F.col(low) - slack[3]
+    for m, h, s in zip(ms, hs, slack, strict=True):
+        bad = bad | (F.col(m) > F.col(h) + s)
     return joined.filter((F.col(words) == 0) | ~F.coalesce(bad, F.lit(False))).select(*docs.columns)
 
 
@@ -173,6 +172,6 @@ q AS (SELECT lang, source, m, min(pt) FILTER (upto >= total * 0.25::DOUBLE) AS q
 b AS (SELECT lang, source, m, q1 + 6 * greatest(q2 - q1, [10, 10, 15, 40][m + 1]) AS high, q1 - 6 * greatest(q1 - q0, [10, 10, 15, 40][m + 1]) AS low FROM q),
 bounds AS (SELECT lang, source, max(high) FILTER (m = 0) AS h0, max(high) FILTER (m = 1) AS h1, max(high) FILTER (m = 2) AS h2, max(high) FILTER (m = 3) AS h3, max(low) FILTER (m = 3) AS low FROM b GROUP BY ALL)
 SELECT m.doc_id, m.lang, m.source FROM m LEFT JOIN bounds b ON m.lang IS NOT DISTINCT FROM b.lang AND m.source IS NOT DISTINCT FROM b.source
-WHERE words = 0 OR NOT coalesce(m0 > h0 + 3000 // greatest(words, 1) OR m1 > h1 + 3000 // greatest(words, 1) OR m2 > h2 + 3000 // greatest(words, 1)
+WHERE words = 0 OR NOT coalesce(m0 > h0 + 3000 // greatest(words, 1) OR m1 > h1 + 3000 // greatest(words, 1) OR m2 > h2 + 9000 // greatest(words, 1)
     OR m3 > h3 + 3000 // greatest(words, 1) OR m3 < low - 3000 // greatest(words, 1), false)
 """
