@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import exact_dedup, neardup, packing, quality, sharding, toxicity
+from granary.llm import chat, exact_dedup, lm, neardup, packing, quality, sharding, tokencount, toxicity, unigram
 from granary.runtime import table
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), ["lang", "source"])
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -41,7 +57,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity, op3_exact_dedup, op4_minhash_near_dedup, op5_quality_rules, op6_sharding, op10_packing, pipeline)
+    found = (
+        op1_chat_formatting, op2_toxicity, op3_exact_dedup, op4_minhash_near_dedup, op5_quality_rules,
+        op6_sharding, op7_token_counts, op8_lm_scoring, op9_sentencepiece, op10_packing, pipeline,
+    )
     return {f.__name__: f for f in found}
 
 
