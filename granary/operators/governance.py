@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from granary.functions import numeric as n
 from granary.runtime import ship
@@ -91,13 +92,18 @@ def cost_summary(queries: DataFrame) -> DataFrame:
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, ttl: float = 3600.0) -> DataFrame:
-    """Requests (key, ts) with hit and value: the latest entry (key, ts, value) before each is a hit if it is no older than the time to live; 0 means 3600."""
-    age = F.col("ts").cast("timestamp").cast("double") - F.col("c_ts").cast("timestamp").cast("double")
-    c = cache.select("key", F.col("ts").alias("c_ts"), "value")
-    live = requests.join(c, "key", "left").withColumn("age", age)
-    good = F.col("age").between(0, ttl or 3600.0)
-    best = F.max(F.when(good, F.struct("c_ts", "value")))
-    return live.groupBy(*requests.columns).agg(best.alias("b")).select(*requests.columns, F.col("b").isNotNull().alias("hit"), F.col("b.value").alias("value"))
+    """Requests (key, ts, ...) with hit and value: the latest entry (key, ts, value) at or before each is a hit if it is no older than the time to live; 0 means 3600.
+
+    An as-of join by one sort: entries and requests of a key go in order of time, entries first, and each request sees the last entry."""
+    names = requests.columns
+    entry = F.struct(F.col("ts").cast("timestamp").cast("double").alias("at"), F.col("value").alias("value"))
+    kind = cache.select(entry.alias("e")).schema[0].dataType
+    asked = requests.select(F.col("key").alias("__key"), F.col("ts").cast("timestamp").alias("__ts"), F.lit(1).alias("__asks"), F.lit(None).cast(kind).alias("__e"), F.struct(*names).alias("__r"))
+    held = cache.select(F.col("key"), F.col("ts").cast("timestamp"), F.lit(0), entry, F.lit(None).cast(asked.schema["__r"].dataType))
+    last = F.last("__e", True).over(W.partitionBy("__key").orderBy("__ts", "__asks").rowsBetween(W.unboundedPreceding, 0))
+    seen = asked.unionAll(held).withColumn("__last", last).filter("__asks = 1")
+    hit = F.coalesce(F.col("__ts").cast("double") - F.col("__last.at") <= (ttl or 3600.0), F.lit(False))
+    return seen.select("__r.*", hit.alias("hit"), F.when(hit, F.col("__last.value")).alias("value"))
 
 
 def cache_stats(cache: DataFrame, now: Column, ttl: float = 3600.0) -> DataFrame:

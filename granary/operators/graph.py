@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +49,10 @@ def paths(vertices: DataFrame, edges: DataFrame, pairs: DataFrame, max_depth: in
     blank = F.filter(F.array(F.struct(F.col("start").alias("source"), F.lit("").alias("relation"), F.col("start").alias("target"))), lambda _: F.lit(False))
     base = pairs.select("start", "end", F.col("start").alias("at"), F.array("start").alias("visited"), blank.alias("path"))
     done, live = base.filter("start = end"), base.filter("start <> end")
-    for _ in range(max_depth):
-        longer = live.join(step, F.col("at") == F.col("src")).filter(~F.array_contains("visited", F.col("dst")))
+    for depth in range(1, max_depth + 1):
+        on = F.col("at") == F.col("src")
+        # The last edge must lead to the end, so it is joined on both its ends.
+        longer = live.join(step, on & (F.col("end") == F.col("dst")) if depth == max_depth else on).filter(~F.array_contains("visited", F.col("dst")))
         longer = longer.select("start", "end", F.col("dst").alias("at"), F.concat("visited", F.array("dst")).alias("visited"), F.concat("path", F.array(hop)).alias("path"))
         longer = cut_lineage(longer)
         done, live = done.unionAll(longer.filter("at = end")), longer.filter("at <> end")
@@ -157,25 +159,37 @@ ENTITIES = {
 }
 
 
+def mentions(text_col: str, patterns: dict[str, list[str]] | None = None) -> Column:
+    """Array of the distinct (entity, type) of a text, lower-cased."""
+
+    def named(kind: str) -> Callable[[Column], Column]:
+        return lambda m: F.struct(F.lower(m).alias("entity"), F.lit(kind).alias("type"))
+
+    found = [F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"(?i)\b({'|'.join(ps)})\b"), F.lit(1)), named(kind)) for kind, ps in (patterns or ENTITIES).items()]
+    return F.array_distinct(F.flatten(F.array(*found)))
+
+
 def extract(docs: DataFrame, patterns: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, entity, type): the distinct lower-cased mentions of each type in each text."""
-    found = [F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"(?i)\b({'|'.join(ps)})\b"), F.lit(1)), lambda m, k=kind: F.struct(F.lower(m).alias("entity"), F.lit(k).alias("type"))) for kind, ps in (patterns or ENTITIES).items()]
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("e")).select("doc_id", "e.entity", "e.type")
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(mentions(text_col, patterns)).alias("e")).select("doc_id", "e.entity", "e.type")
 
 
 def spans(docs: DataFrame, patterns: dict[str, list[str]] | None = None, around: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, entity, type, start, end, context): first place of each mention and ``around`` characters on both sides."""
-    rows = extract(docs, patterns, id_col, text_col).join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t")), "doc_id")
-    at = F.regexp_instr(F.lower("__t"), F.concat(F.lit(r"\b\Q"), "entity", F.lit(r"\E\b")))
-    end = F.col("start") + F.length("entity")
-    low = F.greatest(F.col("start") - around, F.lit(0))
-    return rows.withColumn("start", at - 1).withColumn("end", end).withColumn("context", F.substring("__t", low + 1, F.col("end") + around - low)).drop("__t")
+    low = F.lower(text_col)
+
+    def place(e: Column) -> Column:
+        start = F.regexp_instr(low, F.concat(F.lit(r"\b\Q"), e["entity"], F.lit(r"\E\b"))) - 1
+        end, left = start + F.length(e["entity"]), F.greatest(start - around, F.lit(0))
+        return F.struct(e["entity"].alias("entity"), e["type"].alias("type"), start.alias("start"), end.alias("end"), F.substring(F.col(text_col), left + 1, end + around - left).alias("context"))
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.transform(mentions(text_col, patterns), place)).alias("e")).select("doc_id", "e.*")
 
 
-def link(mentions: DataFrame, entities: DataFrame, aliases: DataFrame | None = None, threshold: float = 0.8, create: bool = True) -> DataFrame:
+def link(found: DataFrame, entities: DataFrame, aliases: DataFrame | None = None, threshold: float = 0.8, create: bool = True) -> DataFrame:
     """(entity, type, entity_id, how): by alias, else by the most similar name of the type over the threshold, else a new id (or null).
     An id is made once for each distinct mention."""
-    distinct = mentions.select("entity", "type").distinct()
+    distinct = found.select("entity", "type").distinct()
     known = entities.select(F.col("id"), F.col("type"), F.col("name"))
     aliased = distinct.select("entity", "type", F.lit(None).cast("string").alias("alias_id")) if aliases is None else distinct.join(aliases.select(F.lower("alias").alias("entity"), F.col("entity_id").alias("alias_id")).dropDuplicates(["entity"]), "entity", "left")
     score = t.character_jaccard(F.lower("entity"), F.lower("name"))
@@ -187,8 +201,8 @@ def link(mentions: DataFrame, entities: DataFrame, aliases: DataFrame | None = N
     return out.select("entity", "type", F.coalesce("alias_id", "fuzzy_id", made).alias("entity_id"), how.alias("how"))
 
 
-def graph_retrieve(queries: DataFrame, vertices: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
+def graph_retrieve(queries: DataFrame, vertices: DataFrame, edges: DataFrame, max_hops: int = 2, patterns: dict[str, list[str]] | None = None) -> DataFrame:
     """(query_id, seed, hop, id): what lies around the entities that each query names and the graph knows."""
-    named = extract(queries, id_col="query_id").select(F.col("doc_id").alias("query_id"), F.concat(F.lower("type"), F.lit("_"), F.replace("entity", F.lit(" "), F.lit("_"))).alias("seed"))
+    named = extract(queries, patterns, id_col="query_id").select(F.col("doc_id").alias("query_id"), F.concat(F.lower("type"), F.lit("_"), F.replace("entity", F.lit(" "), F.lit("_"))).alias("seed"))
     known = named.join(vertices.select(F.col("id").alias("seed")), "seed", "left_semi")
     return known.join(bfs(vertices, edges, known.select("seed").distinct(), max_hops), "seed").select("query_id", "seed", "hop", "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -9,6 +10,7 @@ from pyspark.sql.window import Window as W
 from granary.functions import numeric as n
 from granary.functions import text as t
 from granary.operators.lexical import ranked
+from granary.operators.vectors import blocks, products
 
 
 def where(df: DataFrame, filters: dict[str, object] | None = None, contains: str | None = None, text_col: str = "text") -> DataFrame:
@@ -21,11 +23,20 @@ def where(df: DataFrame, filters: dict[str, object] | None = None, contains: str
 def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, cos, score, rank): exact nearest by cosine of each query (query_id, qvec). score = 1 - distance / 2.
 
-    Queries are crossed with the corpus where it lies; the rank limit is taken within each
-    partition before the shuffle."""
-    base = corpus.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    crossed = base.crossJoin(queries.select("query_id", "qvec")).select("query_id", "id", n.cosine("v", "qvec", 0.0).alias("cos"))
-    return ranked(crossed.withColumn("score", n.distance_score(1 - F.col("cos"))), k, id_col="id")
+    Both sides are gathered into blocks of vectors where they lie, blocks are crossed, and each pair of blocks is one
+    matrix product that gives at most the k best of every query (more on ties), so the shuffle has k rows for each query and
+    corpus block, whatever the block's size. A vector that is null or 0 is near nothing."""
+    crossed = blocks(corpus, id_col, vector_col, "id", "v").crossJoin(blocks(queries, "query_id", "qvec", "query_id", "q"))
+    types = {"query_id": queries.schema["query_id"].dataType, "id": corpus.schema[id_col].dataType}
+
+    def best(i: np.ndarray, cos: np.ndarray) -> np.ndarray:
+        if cos.shape[1] <= k:
+            return np.ones(cos.shape, bool)
+        edge = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+        return cos >= edge[:, None] - 1e-9
+
+    near = products(crossed, best, types)
+    return ranked(near.withColumn("score", n.distance_score(1 - F.col("cos"))), k, id_col="id")
 
 
 def min_max(score: str, *by: str) -> Column:
