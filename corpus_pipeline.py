@@ -15,7 +15,7 @@ from granary.runtime import checkpoint_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.reject(docs)
+    return toxicity.reject(docs, stems=toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

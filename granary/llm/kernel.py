@@ -8,7 +8,7 @@ a text longer than a slice is a slice of its own and is processed whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,12 +97,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one polynomial prefix sum over the slice."""
+def hasher(buf: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Gives 64-bit hashes of byte spans (starts, ends) of a slice, from one polynomial prefix sum over it."""
     p, inverse = _power(len(buf) + 1)
     prefix = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hasher(buf)(starts, ends)
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray, member: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, stems=toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,17 @@ reached. A clause's score is the weight of its path; a document's score is the s
 A document is toxic if a clause reaches ``clause_limit``, or if its score reaches
 ``score_limit`` and, by word, ``density_limit``.
 
+The lexicon of insults is widened by stems that are learned from labelled documents: word beginnings that are
+far more frequent in toxic ones than in others. They are read as a weak insult, so one alone decides nothing.
+At most ``Learning.rows`` labelled documents of each class are used; documents that share their least word hash,
+as copies do, count once.
+
 Only words of the lexicon are looked at one by one, and only in clauses that hold an insult
 or a threat; all others are passed over by vectorised hash lookups.
 
 Defined results: a null or empty text has score 0 and isn't toxic; every row gives one
 row, repeated rows and null doc_ids too; an empty table gives an empty table. Letter case doesn't count.
+Labels without a doc_id or a class are ignored; of several for a document the toxic one counts. Without labels of both classes nothing is learned.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from granary.llm import kernel
 from granary.llm.common import map_batches
@@ -45,8 +52,8 @@ LEXICON = {
     "N": "not never no nobody isnt arent wasnt dont doesnt didnt without hardly nicht kein keine niemals jamais aucun nunca ningún",
     "R": "said says say told called calls wrote writes claimed claims according quoted quote quotes reported reports alleged allegedly tweeted shouted insisted sagte behauptete dit disait dijo afirmó",
 }
-CORE = "IiH"
-STRENGTH = {"I": 1.0, "i": 0.7, "H": 0.8}
+CORE = "IiHl"  # l: a learned stem
+STRENGTH = {"I": 1.0, "i": 0.7, "H": 0.8, "l": 0.3}
 
 
 @dataclass(frozen=True)
@@ -119,7 +126,7 @@ class Scoring(Transducer):
             return (modal, self.reach, (STRENGTH["H"] + 0.8 * (modal > 0)) * mark), symbol, 0.0
         if symbol in ("T", "G"):
             return (modal, 0, 0.0), symbol, worth
-        if symbol[0] in "Ii":
+        if symbol[0] in "Iil":
             return (modal, open_, worth), symbol, STRENGTH[symbol[0]] * mark
         return (modal, open_, worth), symbol, 0.0
 
@@ -170,7 +177,77 @@ _END = np.zeros(256, np.uint8)
 _END[[*b".!?;\n\r"]] = 1
 
 
-def scores(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Stems = dict[int, np.ndarray]  # by length in bytes: sorted hashes of word beginnings
+
+
+@dataclass(frozen=True)
+class Learning:
+    """rows: most labelled documents of each class; support: toxic documents that a stem needs; lift: how much more frequent it is in them."""
+
+    rows: int = 2000
+    support: int = 10
+    lift: float = 10.0
+    lengths: tuple[int, ...] = (5, 6, 7, 8)
+
+
+def beginnings(texts: pa.Array, lengths: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """By row: hashes of the distinct beginnings of words and how often each occurs; least word hash; words. The length is in the hash's lowest 4 bits."""
+    n = len(texts)
+    least, words = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    keys, counts = [np.zeros(0, np.uint64)] * n, [np.zeros(0, np.int32)] * n
+    for at, buf, offs in kernel.slices(texts):
+        starts, ends, rows = kernel.spans(buf, offs)
+        if not len(starts):
+            continue
+        hashed = kernel.hasher(kernel.lowered(buf))
+        h, first = hashed(starts, ends), np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        least[at + rows[first]] = np.minimum.reduceat(h, first)
+        words[at : at + len(offs) - 1] = np.bincount(rows, minlength=len(offs) - 1)
+        parts = []
+        for size in lengths:
+            ok = ends - starts >= size
+            parts.append((rows[ok], hashed(starts[ok], starts[ok] + size) & ~np.uint64(15) | np.uint64(size)))
+        r, k = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+        order = np.lexsort((k, r))
+        r, k = r[order], k[order]
+        new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])])) if len(r) else np.zeros(0, np.int64)
+        times = np.diff(np.append(new, len(r)))
+        cuts = np.searchsorted(r[new], np.arange(len(offs)))
+        for i in range(len(offs) - 1):
+            keys[at + i], counts[at + i] = k[new][cuts[i] : cuts[i + 1]], times[cuts[i] : cuts[i + 1]].astype(np.int32)
+    return keys, counts, least, words
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learning: Learning | None = None) -> Stems:
+    """Stems from documents labelled toxic, 1 or 0."""
+    g = learning or Learning()
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    sample = None
+    for klass in (1, 0):
+        part = known.filter(F.col("toxic") == klass).orderBy(F.xxhash64("id"), "id").limit(g.rows)
+        sample = part if sample is None else sample.unionAll(part)
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "toxic", "text")
+    kind = chosen.schema["id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, counts, least, words = beginnings(batch.column(2), g.lengths)
+        lists = [pa.array(x, pa.list_(t)) for x, t in (([k.view(np.int64) for k in keys], pa.int64()), (counts, pa.int32()))]
+        out = pa.record_batch([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(least.view(np.int64)), pa.array(words), *lists], ["id", "toxic", "least", "words", "keys", "counts"])
+        return out.filter(pa.array(words > 0))
+
+    found = map_batches(chosen, run, f"id {kind}, toxic int, least bigint, words bigint, keys array<bigint>, counts array<int>")
+    single = found.groupBy("least", "toxic").agg(F.min_by(F.struct("words", "keys", "counts"), "id").alias("d"))
+    each = single.select("toxic", F.explode(F.arrays_zip("d.keys", "d.counts")).alias("k")).select("toxic", F.col("k.keys").alias("key"), F.col("k.counts").alias("n"))
+    toxic = F.col("toxic") == 1
+    total = single.agg(F.sum(F.when(toxic, F.col("d.words"))).alias("pos"), F.sum(F.when(~toxic, F.col("d.words"))).alias("neg"))
+    sums = each.groupBy("key").agg(F.count_if(toxic).alias("docs"), F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("b"))
+    lifted = (F.col("a") / F.col("pos")) >= g.lift * (F.col("b") + 1) / F.coalesce("neg", F.lit(1))
+    rows = sums.filter(F.col("docs") >= g.support).crossJoin(total).filter(lifted).select("key").toPandas()
+    keys = np.sort(rows["key"].to_numpy(np.int64).view(np.uint64))
+    return {int(size): keys[(keys & np.uint64(15)) == size] for size in np.unique(keys & np.uint64(15))}
+
+
+def scores(texts: pa.Array, stems: Stems | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By row: score, greatest clause score, matched clauses, words."""
     keys, symbols = _lexicon()
     n = len(texts)
@@ -180,10 +257,16 @@ def scores(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         if not len(starts):
             continue
         words[at : at + len(offs) - 1] = np.bincount(rows, minlength=len(offs) - 1)
-        h = kernel.span_hashes(kernel.lowered(buf), starts, ends)
+        hashed = kernel.hasher(kernel.lowered(buf))
+        h = hashed(starts, ends)
         where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         hit = keys[where] == h
         kind = np.where(hit, symbols[where], ord("o")).astype(np.uint8)
+        for size, known in (stems or {}).items():
+            ok = np.flatnonzero((ends - starts >= size) & ~hit)
+            h = hashed(starts[ok], starts[ok] + size) & ~np.uint64(15) | np.uint64(size)
+            got = ok[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
+            kind[got], hit[got] = ord("l"), True
         core = np.isin(kind, np.frombuffer(CORE.encode(), np.uint8))
         if not core.any():
             continue
@@ -207,24 +290,24 @@ def is_toxic(total: np.ndarray, most: np.ndarray, words: np.ndarray, limits: Lim
     return (most >= limits.clause_limit - 1e-9) | ((total >= limits.score_limit - 1e-9) & (total >= limits.density_limit * words - 1e-9))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, stems: Stems | None = None) -> DataFrame:
     """(doc_id, toxic_score, worst_clause, toxic) for every row."""
     limits = limits or Limits()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total, most, _, words = scores(batch.column(1))
+        total, most, _, words = scores(batch.column(1), stems)
         return pa.record_batch([batch.column(0), pa.array(total.round(6)), pa.array(most.round(6)), pa.array(is_toxic(total, most, words, limits))], ["doc_id", "toxic_score", "worst_clause", "toxic"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return map_batches(docs.select(id_col, text_col), run, f"doc_id {kind}, toxic_score double, worst_clause double, toxic boolean")
 
 
-def reject(docs: DataFrame, text_col: str = "text", limits: Limits | None = None) -> DataFrame:
+def reject(docs: DataFrame, text_col: str = "text", limits: Limits | None = None, stems: Stems | None = None) -> DataFrame:
     """The rows of ``docs`` that aren't toxic, columns as they were, in one pass without a shuffle."""
     limits, at = limits or Limits(), docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total, most, _, words = scores(batch.column(at))
+        total, most, _, words = scores(batch.column(at), stems)
         return batch.filter(pa.array(~is_toxic(total, most, words, limits)))
 
     return map_batches(docs, run, docs.schema)

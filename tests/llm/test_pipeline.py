@@ -16,8 +16,10 @@ DOC_STAGES = corpus_pipeline.STAGES[:-1]
 
 def test_run_against_brute_force(spark):
     """Each stage done in plain Python, but for the quality limits, which are read off sorted lists."""
-    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    total, most, _, words = toxicity.scores(pa.array([d[1] for d in docs]))
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in table.collect()]
+    stems = toxicity.learn(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    total, most, _, words = toxicity.scores(pa.array([d[1] for d in docs]), stems)
     docs = [d for d, bad in zip(docs, toxicity.is_toxic(total, most, words, toxicity.Limits()), strict=True) if not bad]
 
     rules, m = quality.Rules(), quality.measures(pa.array([d[1] for d in docs]))

@@ -39,7 +39,7 @@ def test_composition_equals_running_each_in_turn():
     parts = [toxicity.Negation(), toxicity.Reported(), toxicity.Target(), toxicity.Scoring()]
     import itertools
 
-    for symbols in itertools.product("IiHMTGNRo", repeat=4):
+    for symbols in itertools.product("IiHMTGNRlo", repeat=4):
         text, total = list(symbols), 0.0
         for t in parts:
             state, out = t.start, []
@@ -96,3 +96,61 @@ def test_hard_rows(hard, nothing):
 def test_reject_drops_only_what_is_toxic(spark):
     docs = frame(spark, [(1, "You are a worthless moron.", "en", "a"), (2, "A calm sentence.", "en", "a"), (None, "you scum", "en", "a")])
     assert [r.doc_id for r in toxicity.reject(docs).collect()] == [2]
+
+
+def brute_stems(rows, learning):
+    """rows: (doc_id, text, toxic)."""
+    import re
+    from collections import Counter, defaultdict
+
+    single, df, tf, words = {}, defaultdict(set), {0: Counter(), 1: Counter()}, Counter()
+    for doc, text, toxic in sorted(rows):
+        ws = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+        if ws:
+            single.setdefault((min(toxicity.kernel.hash_text(w) for w in ws) ^ 1 << 63, toxic), ws)
+    for (least, toxic), ws in single.items():
+        words[toxic] += len(ws)
+        for w in ws:
+            for size in learning.lengths:
+                if len(w.encode()) >= size:
+                    key = w.encode()[:size]
+                    tf[toxic][key] += 1
+                    if toxic:
+                        df[key].add(least)
+    return {k for k, d in df.items() if len(d) >= learning.support and tf[1][k] / words[1] >= learning.lift * (tf[0][k] + 1) / words[0]}
+
+
+def test_learning_against_brute_force(spark):
+    import numpy as np
+    from tests.conftest import SF
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    learning = toxicity.Learning(support=4, lift=5.0)
+    want = brute_stems([tuple(r) for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect()], learning)
+    got = toxicity.learn(docs, labels, learning=learning)
+
+    def hashed(b):
+        x = np.frombuffer(b, np.uint8)
+        return int(toxicity.kernel.span_hashes(x, np.array([0]), np.array([len(b)]))[0]) & ~15 | len(b)
+
+    assert want and {int(k) for v in got.values() for k in v} == {hashed(b) for b in want}
+
+
+def test_held_out_accuracy_in_every_language(spark):
+    """Stems learned on one half of the labelled documents, all languages judged on the other."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    half = labels.selectExpr("*", "xxhash64(doc_id) % 2 = 0 as held")
+    stems = toxicity.learn(docs, half.filter("not held"))
+    rows = toxicity.score(docs, stems=stems).withColumnRenamed("toxic", "found").join(half.filter("held"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("lang", "toxic", "found").collect()
+    for lang in ("en", "de", "fr", "es"):
+        mine = [(r.toxic, r.found) for r in rows if r.lang == lang]
+        hits = sum(t and f for t, f in mine)
+        assert hits >= 0.85 * sum(t for t, _ in mine) and hits >= 0.9 * sum(f for _, f in mine), lang
+
+
+def test_learning_hard_rows(spark, hard, nothing):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None), (7, 1), (8, 0), (77, 1)], "doc_id bigint, toxic int")
+    assert toxicity.learn(hard, labels) == {}
+    assert toxicity.learn(nothing, labels) == {} == toxicity.learn(hard, labels.filter("false"))
+    assert toxicity.learn(hard, labels, learning=toxicity.Learning(support=1, lift=1e-6))
