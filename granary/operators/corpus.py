@@ -62,16 +62,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     """(id, near_id, similarity) of each vector with the most similar earlier one at or over the threshold.
 
     Vectors meet if all signs of ``bits`` random projections agree in one of ``bands`` bands, and are then compared exactly. At a cosine of .95
-    a pair meets with probability 1 - (1 - .899 ** 14) ** 24 = .997; unlike vectors share a key with probability 2 ** -14 a band. Only ids and
-    keys are grouped; vectors are joined to the pairs that met."""
-    signed = cut_lineage(sign_bands(vectors, id_col, vector_col, bands, bits, seed))
-    keyed = signed.select("id", F.explode("keys").alias("key"))
+    a pair meets with probability 1 - (1 - .899 ** 14) ** 24 = .997; unlike vectors share a key with probability 2 ** -14 a band. Equal
+    vectors are one class, named by its least id, which is what the others are nearest to. Only ids and keys are grouped; vectors are joined to
+    the pairs that met."""
+    signed = sign_bands(vectors, id_col, vector_col, bands, bits, seed)
+    classes = cut_lineage(signed.groupBy("v").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.collect_list("id").alias("members")))
+    same = classes.filter(F.size("members") > 1).select(F.explode("members").alias("id"), F.col("id").alias("near_id")).filter("id <> near_id").select("id", "near_id", F.lit(1.0).alias("similarity"))
+    keyed = classes.select("id", F.explode("keys").alias("key"))
     met = keyed.join(keyed.select(F.col("id").alias("near_id"), "key"), "key").filter("near_id < id").select("id", "near_id").distinct()
-    v = signed.select("id", "v")
+    v = classes.select("id", "v")
     both = met.join(v, "id").join(v.select(F.col("id").alias("near_id"), F.col("v").alias("w")), "near_id")
     hits = both.withColumn("similarity", n.dot("v", "w")).filter(F.col("similarity") >= threshold)
     best = hits.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "near_id"))).filter("r = 1")
-    return best.select("id", "near_id", "similarity")
+    return best.select("id", "near_id", "similarity").unionAll(same)
 
 
 def ingestion_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -28,6 +28,12 @@ def alerts(scores: DataFrame, threshold: float = 0.90) -> DataFrame:
     return scores.withColumn("severity", n.drift_severity("drift_score", threshold)).filter("severity is not null").withColumn("threshold", F.lit(threshold))
 
 
+def recent_alerts(found: DataFrame, severity: str | None = None, since: str | None = None, at: str = "timestamp") -> DataFrame:
+    """Alerts of a severity after a time; either may be left out."""
+    out = found if severity is None else found.filter(F.col("severity") == severity)
+    return out if since is None else out.filter(F.col(at) > F.lit(since).cast("timestamp"))
+
+
 def moved(old: str, new: str, alpha: float = 0.1):
     """Reference moved towards a new centroid, of unit length again."""
     mean = F.zip_with(old, new, lambda a, b: (1 - alpha) * a + alpha * b)

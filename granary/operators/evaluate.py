@@ -35,10 +35,13 @@ def latency_linear(rows: DataFrame, by: str, value: str, points: tuple[float, ..
 
 
 def latency_nearest(rows: DataFrame, by: str, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Mean, extremes and the element at floor(n * p) of the sorted values, by rank rather than a list per group."""
+    """Mean, extremes and the element at floor(n * p) of the sorted values. Values are counted first, on the map side, so what is sorted are
+    a group's distinct values, not its rows."""
+    held = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
     w = W.partitionBy(by)
-    placed = rows.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    return placed.groupBy(by).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.max(F.when(F.col("i") == F.floor(F.col("n") * F.lit(q)), F.col(value))).alias(f"p{round(100 * q)}") for q in points])
+    placed = held.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    at = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(q)), F.col(value))).alias(f"p{round(100 * q)}") for q in points]
+    return placed.groupBy(by).agg((F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *at)
 
 
 def rolling(rows: DataFrame, by: str, order: tuple[str, ...], value: str, size: int = 1000) -> DataFrame:

@@ -120,13 +120,19 @@ class Breaker:
     def __init__(self, failures: int, reset: float, trials: int) -> None:
         self.limits, self.state, self.count, self.last, self.good = (failures, reset, trials), "closed", 0, 0.0, 0
 
-    def call(self, at: float, ok: bool) -> bool:
-        """Whether the call is let through; its outcome counts only then."""
-        failures, reset, trials = self.limits
+    def lets(self, at: float) -> bool:
+        """Whether a call may go; an open breaker becomes half open when its time is over."""
         if self.state == "open":
-            if at - self.last < reset:
+            if at - self.last < self.limits[1]:
                 return False
             self.state, self.good = "half_open", 0
+        return True
+
+    def call(self, at: float, ok: bool) -> bool:
+        """Whether the call is let through; its outcome counts only then."""
+        failures, _, trials = self.limits
+        if not self.lets(at):
+            return False
         if ok:
             self.count = 0
             if self.state == "half_open":

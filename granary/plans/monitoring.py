@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import numeric as n
 from granary.functions import text as t
-from granary.operators import evaluate, governance
+from granary.operators import evaluate, governance, service
 from granary.plans import sql
 from granary.plans.registry import query
 from granary.runtime import table
@@ -44,6 +44,12 @@ def metric_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.counters(events(spark, sf_dir))
 
 
+@query("""WITH p AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events)
+SELECT count(*) AS requests, avg(value) AS mean, min(value) AS min, max(value) AS max, max(value) FILTER (i = floor(n * 0.5::DOUBLE)) AS p50, max(value) FILTER (i = floor(n * 0.95::DOUBLE)) AS p95, max(value) FILTER (i = floor(n * 0.99::DOUBLE)) AS p99 FROM p""")
+def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service.metrics(events(spark, sf_dir), "value")
+
+
 # --- cost
 
 _ROUTE = f"CASE WHEN length(text) < 40 THEN 'small' WHEN {sql.contains_any('lower(text)', t.COMPLEX)} OR length(text) - length(replace(text, '?', '')) > 1 OR contains(lower(text), ' and ') THEN 'large' ELSE 'medium' END"

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from granary.functions import numeric as n
 from granary.functions import text as t
-from granary.operators import context, corpus, drift, evaluate, lexical, retrieval
+from granary.operators import context, corpus, drift, evaluate, lexical, retrieval, service
 from granary.plans import sql
 from granary.plans.registry import query
 from granary.runtime import table
@@ -285,6 +285,13 @@ def adaptive_chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("source", n.chunk_count("ts", "n", 3000).cast("bigint").alias("chunks"))
 
 
+@query()
+def answer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with a vector answered end to end, the first source standing in for a model."""
+    both = documents(spark, sf_dir).select("doc_id", "text", "source").join(vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    return service.answer(both, item_vectors(spark, sf_dir), service.first_source, title_col="source")
+
+
 # --- evaluation
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,15 +15,19 @@ _PACKAGE = Path(__file__).resolve().parent
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per SparkContext."""
+    """Send this package to the executors' Python workers, once per SparkContext, by way of the shared folder."""
     sc = spark.sparkContext
     if getattr(sc, "_granary_shipped", False):
         return
-    target = Path(tempfile.mkdtemp(prefix="granary-")) / "granary-src.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(_PACKAGE.rglob("*.py")):
             z.write(path, Path(_PACKAGE.name) / path.relative_to(_PACKAGE))
-    sc.addPyFile(str(target))
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/granary-{uuid.uuid4().hex}/granary-src.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target.toString())
     sc._granary_shipped = True
 
 

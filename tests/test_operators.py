@@ -118,6 +118,8 @@ def test_near_vectors(spark):
     got = {r["id"]: r["similarity"] for r in corpus.near_vectors(df).collect()}
     assert len(want) > 100 and set(got) <= want and len(got) >= 0.97 * len(want)
     assert all(s >= 0.95 for s in got.values())
+    twice = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (4, [0.0, 1.0]), (5, None)], "vec_id bigint, embedding array<float>")
+    assert sorted(tuple(r) for r in corpus.near_vectors(twice).collect()) == [(2, 1, 1.0), (3, 1, 1.0)]
 
 
 def test_paragraphs_and_packing():
@@ -270,3 +272,55 @@ def test_empty_tables(spark):
     v = spark.createDataFrame([], "vec_id int, embedding array<float>")
     assert corpus.near_vectors(v).count() == 0
     assert retrieval.knn(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 3).count() == 0
+
+
+def test_guards():
+    from granary.operators import guards
+
+    now = [0.0]
+
+    def fail(x):
+        raise KeyError(x)
+
+    run = guards.guarded("llm", clock=lambda: now[0])(fail)
+    for _ in range(3):
+        with pytest.raises(KeyError):
+            run(1)
+    with pytest.raises(guards.Rejected):
+        run(1)
+    now[0] = 31.0
+    with pytest.raises(KeyError):
+        run(1)
+    assert guards.guarded(fallback=lambda x: "later", breaker=run.breaker, clock=lambda: now[0])(fail)(1) == "later"
+
+    cache, calls = guards.Cache(10, clock=lambda: now[0]), []
+    double = guards.cached(cache)(lambda x: calls.append(x) or 2 * x)
+    assert double(2) == double(2) == 4 and calls == [2]
+    now[0] += 11
+    assert cache.stats() == {"total": 1, "valid": 0, "expired": 1} and double(2) == 4 and calls == [2, 2]
+    cache.delete(guards.key_of("<lambda>", 2))
+    assert cache.stats()["total"] == 0
+
+
+def test_alerts(spark):
+    rows = spark.createDataFrame([("high", "2024-01-01 00:00:00"), ("high", "2024-01-03 00:00:00"), ("low", "2024-01-03 00:00:00")], "severity string, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    assert drift.recent_alerts(rows, "high", "2024-01-02").count() == 1 and drift.recent_alerts(rows).count() == 3
+
+
+def test_metrics_of_no_requests(spark):
+    from granary.operators import service
+
+    assert tuple(service.metrics(spark.createDataFrame([], "latency_ms double")).first()) == (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_nothing_found_gets_the_fallback(spark):
+    from granary.operators import service
+
+    index = spark.createDataFrame([(1, "Pay 10 euros. Then go.", [1.0, 0.0], "en")], "doc_id int, text string, embedding array<float>, lang string")
+    asked = spark.createDataFrame([(7, "what is the price", [1.0, 0.0])], "query_id int, text string, qvec array<float>")
+    (r,) = service.answer(index, asked, service.first_source).collect()
+    assert (r["answer"], r["status"], r["confidence"]) == ("Pay 10 euros.", "valid", "high")
+    (r,) = service.answer(index, asked, service.first_source, filters={"lang": "fr"}).collect()
+    assert (r["answer"], r["confidence"], r["sources"]) == ("Not found in context", "low", None)
+    (r,) = service.answer(index, asked, lambda p: F.lit("It is 99 euros"), rerank=False).collect()
+    assert (r["status"], r["confidence"]) == ("invalid", "low")

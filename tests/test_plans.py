@@ -16,7 +16,7 @@ from tests import oracle
 from tests.conftest import SF
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
-PLAIN = {"html_parse", "embed_documents", "semantic_chunks", "sentence_chunks", "chunk_quality_report", "extract_names", "pii_spans", "entity_extract", "entity_spans", "rerank_and_dedupe", "context_assemble", "breaker_replay", "stream_breakers"}
+PLAIN = {"html_parse", "embed_documents", "semantic_chunks", "sentence_chunks", "chunk_quality_report", "extract_names", "pii_spans", "entity_extract", "entity_spans", "rerank_and_dedupe", "context_assemble", "breaker_replay", "stream_breakers", "answer_queries"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -159,6 +159,16 @@ def test_context_assemble(spark, texts):
             assert all(texts[int(s["doc_id"])] in r["context"] for s in r["sources"])
 
 
+def test_answer_queries(spark, duck, texts):
+    rows = got(spark, "answer_queries")
+    assert {r["query_id"] for r in rows} == {q for (q,) in duck.sql("SELECT item_id FROM benchmark JOIN embeddings ON vec_id = item_id").fetchall()}
+    for r in rows:
+        first = texts[int(r["sources"][0]["doc_id"])]
+        assert r["answer"] == re.split(r"(?<=[.!?])\s+", first)[0] and 1 <= len(r["sources"]) <= 5
+        assert (r["status"], r["confidence"]) in {("valid", "high"), ("invalid", "low")}
+        assert [s["score"] for s in r["sources"]] == sorted((s["score"] for s in r["sources"]), reverse=True)
+
+
 def test_breakers(spark, duck):
     calls = duck.sql("SELECT event_type, ts, value < 80 FROM events ORDER BY event_type, ts").fetchall()
     want, state = [], {}
