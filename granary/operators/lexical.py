@@ -56,7 +56,8 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int | None = 10, id_col: st
 def ranked(scored: DataFrame, top_k: int | None, score: str = "score", id_col: str = "doc_id", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Rank from 1 within ``by``, best first; the first ``top_k`` where given. Scores equal to nine decimals tie and go by id, as sums in another order may differ beyond."""
     out = scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.round(score, 9)), id_col)))
-    return out.filter(F.col("rank") <= top_k) if top_k else out
+    kept = out.filter(F.col("rank") <= top_k) if top_k else out
+    return kept.withColumn("rank", F.col("rank").cast("bigint"))  # after the filter, which then limits groups before the shuffle
 
 
 def term_matches(post: DataFrame, queries: DataFrame) -> DataFrame:

@@ -347,7 +347,7 @@ def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.alerts(drift_by_label(spark, sf_dir))
 
 
-@query(f"""WITH {DRIFT} SELECT label, drift_score, count(*) OVER u AS checks, sum((drift_score < 0.9)::INTEGER) OVER u AS alerts, max(1 - drift_score) OVER u AS max_drift, avg(drift_score) OVER r AS recent_mean, min(drift_score) OVER r AS recent_min FROM dr
+@query(f"""WITH {DRIFT} SELECT label, drift_score, count(*) OVER u AS checks, (sum((drift_score < 0.9)::INTEGER) OVER u)::BIGINT AS alerts, max(1 - drift_score) OVER u AS max_drift, avg(drift_score) OVER r AS recent_mean, min(drift_score) OVER r AS recent_min FROM dr
 WINDOW u AS (ORDER BY label ROWS UNBOUNDED PRECEDING), r AS (ORDER BY label ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def drift_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift_stats(drift_by_label(spark, sf_dir), "label")
