@@ -10,11 +10,15 @@ Words become symbols of a small alphabet. Four transducers rewrite and score the
 
 They are composed into one weighted transducer, whose states are built as they are
 reached. A clause's score is the weight of its path; a document's score is the sum over its clauses.
-A document is toxic if a clause reaches ``clause_limit``, or if its score reaches
-``score_limit`` and, by word, ``density_limit``.
+A fifth transducer tells which clauses count by themselves: those with an insult near a target, with two insults (two mild
+ones must be next to each other) or with a threat near its target. The others hold isolated words, of which one
+decides nothing: they count only if two clauses or more hold insults, not all of them mild, and
+such clauses are ``SCATTERED`` by word, as labelled documents have insults strewn over their clauses.
+A document is toxic if a clause that counts by itself reaches ``clause_limit``, or if the sum over those that
+count reaches ``score_limit`` and, by word, ``density_limit``.
 
 The lexicon of insults is widened by stems that are learned from labelled documents: word beginnings that are
-far more frequent in toxic ones than in others. They are read as a weak insult, so one alone decides nothing.
+far more frequent in toxic ones than in others. They are read as a weak insult.
 At most ``Learning.rows`` labelled documents of each class are used; documents that share their least word hash,
 as copies do, count once.
 
@@ -131,6 +135,27 @@ class Scoring(Transducer):
         return (modal, open_, worth), symbol, 0.0
 
 
+class Pairing(Transducer):
+    """Passes on what negation and reported speech have marked, with weight where an insult or a threat is paired; negated ones pair with nothing.
+    State: how near the last target, plain insult and threat are; mild insults so far (3: a strong one or a stem has come); whether a mild one came just before."""
+
+    start = (0, 0, 0, 0, False)
+
+    def step(self, state: tuple[int, int, int, int, bool], symbol: str) -> tuple[tuple[int, int, int, int, bool], str, float]:
+        target, insult, threat = (max(0, x - 1) for x in state[:3])
+        seen, beside = state[3:]
+        kind = "o" if "-" in symbol else symbol[0]
+        if kind in "TG":
+            return (Target.reach, 0, 0, seen, False), symbol, float(insult > 0 or threat > 0)
+        if kind == "H":
+            return (target, insult, Scoring.reach, seen, False), symbol, 0.0
+        if kind in "Iil":
+            mild, plain = kind == "i", "~" not in symbol
+            paired = (target > 0 and plain) or seen >= 2 or (seen == 1 and (beside or not mild))
+            return (target, Target.reach if plain else insult, threat, min(seen + 1, 3) if mild else 3, mild), symbol, float(paired)
+        return (target, insult, threat, seen, False), symbol, 0.0
+
+
 class Composed(Transducer):
     """``first`` composed with ``second``: outputs of the one are read by the other, weights add up. Arcs are built once, when first taken."""
 
@@ -152,14 +177,33 @@ def grammar() -> Composed:
     return Composed(Composed(Composed(Negation(), Reported()), Target()), Scoring())
 
 
-def clause_score(symbols: str) -> float:
-    """Weight of the path that reads the symbols of one clause."""
-    g = grammar()
+@cache
+def pairing() -> Composed:
+    return Composed(Composed(Negation(), Reported()), Pairing())
+
+
+def path(g: Transducer, symbols: str) -> tuple[float, object]:
+    """Weight of the path that reads the symbols, and the state where it ends."""
     state, total = g.start, 0.0
     for s in symbols:
         state, _, w = g.step(state, s)
         total += w
-    return total
+    return total, state
+
+
+def clause_score(symbols: str) -> float:
+    """Score of the symbols of one clause."""
+    return path(grammar(), symbols)[0]
+
+
+def evidence(symbols: str) -> tuple[bool, bool, bool]:
+    """Of a clause: whether it counts by itself, whether it holds an insult and whether one that isn't mild."""
+    paired, (_, end) = path(pairing(), symbols)
+    return paired > 0, end[3] > 0, end[3] == 3
+
+
+#: Clauses with an insult by word from which insults that are strewn over a document's clauses count.
+SCATTERED = 0.006
 
 
 #: After so many other words no state of the grammar remembers a distance.
@@ -247,11 +291,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {int(size): keys[(keys & np.uint64(15)) == size] for size in np.unique(keys & np.uint64(15))}
 
 
-def scores(texts: pa.Array, stems: Stems | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By row: score, greatest clause score, matched clauses, words."""
+def measures(texts: pa.Array, stems: Stems | None = None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By row: score and greatest clause score of all clauses; score of those that count, the greatest and the number of those that do by themselves, words."""
     keys, symbols = _lexicon()
     n = len(texts)
-    total, most, matched, words = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    total, most, counted, worst, matched, words = (np.zeros(n, t) for t in (float, float, float, float, np.int64, np.int64))
+    insulting, grave = np.zeros(n, np.int64), np.zeros(n, bool)
     for at, buf, offs in kernel.slices(texts):
         starts, ends, rows = kernel.spans(buf, offs)
         if not len(starts):
@@ -282,8 +327,20 @@ def scores(texts: pa.Array, stems: Stems | None = None) -> tuple[np.ndarray, np.
                 row = at + rows[part[0]]
                 total[row] += s
                 most[row] = max(most[row], s)
-                matched[row] += 1
-    return total, most, matched, words
+                paired, insult, strong = evidence(text)
+                insulting[row] += insult
+                grave[row] |= paired or strong
+                if paired:
+                    counted[row] += s
+                    worst[row] = max(worst[row], s)
+                    matched[row] += 1
+    strewn = (insulting > 1) & grave & (insulting >= SCATTERED * words - 1e-9)
+    return (total, most), (np.where(strewn, total, counted), worst, matched, words)
+
+
+def scores(texts: pa.Array, stems: Stems | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By row: score of the clauses that count, the greatest and the number of those that do by themselves; words."""
+    return measures(texts, stems)[1]
 
 
 def is_toxic(total: np.ndarray, most: np.ndarray, words: np.ndarray, limits: Limits) -> np.ndarray:
@@ -291,12 +348,12 @@ def is_toxic(total: np.ndarray, most: np.ndarray, words: np.ndarray, limits: Lim
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, stems: Stems | None = None) -> DataFrame:
-    """(doc_id, toxic_score, worst_clause, toxic) for every row."""
+    """(doc_id, toxic_score, worst_clause, toxic) for every row; the scores are of all clauses, toxic goes by those that count."""
     limits = limits or Limits()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total, most, _, words = scores(batch.column(1), stems)
-        return pa.record_batch([batch.column(0), pa.array(total.round(6)), pa.array(most.round(6)), pa.array(is_toxic(total, most, words, limits))], ["doc_id", "toxic_score", "worst_clause", "toxic"])
+        (total, most), (counted, worst, _, words) = measures(batch.column(1), stems)
+        return pa.record_batch([batch.column(0), pa.array(total.round(6)), pa.array(most.round(6)), pa.array(is_toxic(counted, worst, words, limits))], ["doc_id", "toxic_score", "worst_clause", "toxic"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return map_batches(docs.select(id_col, text_col), run, f"doc_id {kind}, toxic_score double, worst_clause double, toxic boolean")

@@ -154,3 +154,29 @@ def test_learning_hard_rows(spark, hard, nothing):
     assert toxicity.learn(hard, labels) == {}
     assert toxicity.learn(nothing, labels) == {} == toxicity.learn(hard, labels.filter("false"))
     assert toxicity.learn(hard, labels, learning=toxicity.Learning(support=1, lift=1e-6))
+
+
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [
+        ("She put the trash out.", False),
+        ("The clown at the party made the children laugh.", False),
+        ("The pigs ate the garbage.", False),
+        ("The clowns threw garbage at the screen. The pigs ate it.", False),
+        ("The filth was washed off.", False),
+        ("The parasite was found. " + "Nothing else was seen in the field that day. " * 40 + "The farm had pigs.", False),
+        ("Idiot was heard. Somewhere the word moron.", True),
+        ("You are a clown.", True),
+        ("What a stupid loser!", True),
+        ("A moron and a liar.", True),
+    ],
+)
+def test_isolated_words_decide_nothing(text, toxic):
+    total, most, _, words = toxicity.scores(pa.array([text]))
+    assert bool(toxicity.is_toxic(total, most, words, toxicity.Limits())[0]) is toxic
+
+
+def test_reject_keeps_isolated_words(spark):
+    docs = frame(spark, [(1, "She put the trash out.", "en", "a"), (2, "The pigs ate the garbage.", "en", "a"), (3, "You are trash.", "en", "a")])
+    assert sorted(r.doc_id for r in toxicity.reject(docs).collect()) == [1, 2]
+    assert {r.doc_id: r.toxic for r in toxicity.score(docs).collect()} == {1: False, 2: False, 3: True}
