@@ -66,6 +66,20 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def plain_apostrophes(buf: np.ndarray) -> np.ndarray:
+    """Typographic apostrophes (U+2018, U+2019, U+02BC) as runs of ASCII ones, byte lengths unchanged."""
+    out = buf.copy()
+    for tail in ((0xE2, 0x80, 0x98), (0xE2, 0x80, 0x99), (0xCA, 0xBC)):
+        n = len(buf) - len(tail) + 1
+        if n > 0:
+            at = np.flatnonzero(buf[:n] == tail[0])
+            for j, byte in enumerate(tail):
+                at = at[buf[at + j] == byte]
+            for j in range(len(tail)):
+                out[at + j] = 39
+    return out
+
+
 def spans(buf: np.ndarray, offs: np.ndarray, member: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the maximal runs of bytes in ``member`` that don't cross rows."""
     n = len(buf)

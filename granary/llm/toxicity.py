@@ -2,7 +2,7 @@
 
 Words become symbols of a small alphabet. Four transducers rewrite and score them:
 
-- negation marks the insults and threats within a few words after a negator;
+- negation marks the insults and threats within a few words after a negator, n't with any apostrophe included;
 - reported speech marks those after a reporting verb in the same clause;
 - target pairs an insult with a second person or group word near it on either side;
 - scoring turns insults and threats, as marked, into weights. A threat counts only if it has
@@ -240,6 +240,7 @@ def beginnings(texts: pa.Array, lengths: tuple[int, ...]) -> tuple[list[np.ndarr
     least, words = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     keys, counts = [np.zeros(0, np.uint64)] * n, [np.zeros(0, np.int32)] * n
     for at, buf, offs in kernel.slices(texts):
+        buf = kernel.plain_apostrophes(buf)
         starts, ends, rows = kernel.spans(buf, offs)
         if not len(starts):
             continue
@@ -291,6 +292,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {int(size): keys[(keys & np.uint64(15)) == size] for size in np.unique(keys & np.uint64(15))}
 
 
+def contractions(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The words that are the t of a contracted not: isn't is read as isn and t, and the t negates as not does."""
+    t = 1 + np.flatnonzero((ends[1:] - starts[1:] == 1) & (low[starts[1:]] == ord("t")) & (rows[1:] == rows[:-1]))
+    before, gap = ends[t - 1], starts[t] - ends[t - 1]
+    inside = (low[before] == 39) & (low[starts[t] - 1] == 39) & (low[before + gap // 2] == 39)
+    return t[(gap <= 3) & (low[before - 1] == ord("n")) & inside]
+
+
 def measures(texts: pa.Array, stems: Stems | None = None) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By row: score and greatest clause score of all clauses; score of those that count, the greatest and the number of those that do by themselves, words."""
     keys, symbols = _lexicon()
@@ -298,15 +307,19 @@ def measures(texts: pa.Array, stems: Stems | None = None) -> tuple[tuple[np.ndar
     total, most, counted, worst, matched, words = (np.zeros(n, t) for t in (float, float, float, float, np.int64, np.int64))
     insulting, grave = np.zeros(n, np.int64), np.zeros(n, bool)
     for at, buf, offs in kernel.slices(texts):
+        buf = kernel.plain_apostrophes(buf)
         starts, ends, rows = kernel.spans(buf, offs)
         if not len(starts):
             continue
         words[at : at + len(offs) - 1] = np.bincount(rows, minlength=len(offs) - 1)
-        hashed = kernel.hasher(kernel.lowered(buf))
+        low = kernel.lowered(buf)
+        hashed = kernel.hasher(low)
         h = hashed(starts, ends)
         where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         hit = keys[where] == h
         kind = np.where(hit, symbols[where], ord("o")).astype(np.uint8)
+        short = contractions(low, starts, ends, rows)
+        kind[short], hit[short] = ord("N"), True
         for size, known in (stems or {}).items():
             ok = np.flatnonzero((ends - starts >= size) & ~hit)
             h = hashed(starts[ok], starts[ok] + size) & ~np.uint64(15) | np.uint64(size)

@@ -180,3 +180,18 @@ def test_reject_keeps_isolated_words(spark):
     docs = frame(spark, [(1, "She put the trash out.", "en", "a"), (2, "The pigs ate the garbage.", "en", "a"), (3, "You are trash.", "en", "a")])
     assert sorted(r.doc_id for r in toxicity.reject(docs).collect()) == [1, 2]
     assert {r.doc_id: r.toxic for r in toxicity.score(docs).collect()} == {1: False, 2: False, 3: True}
+
+
+@pytest.mark.parametrize("apostrophe", ["'", "\u2019", "\u02bc"])
+def test_contracted_negations(apostrophe):
+    plain = ["He is not an idiot.", "You are not an idiot.", "THEY are NOT worthless morons.", "Do not hurt them.", "You are an idiot.", "I can not kill you, you did not ask."]
+    short = ["He isn't an idiot.", "You aren't an idiot.", "THEY AREN'T worthless morons.", "Don't hurt them.", "You're an idiot.", "I can't kill you, you didn't ask."]
+    want, got = (toxicity.measures(pa.array(x)) for x in (plain, [s.replace("'", apostrophe) for s in short]))
+    assert got[0][0].tolist() == pytest.approx(want[0][0].tolist())
+    judged = toxicity.is_toxic(got[1][0], got[1][1], got[1][3], toxicity.Limits())
+    assert judged.tolist() == [False] * 4 + [True, False]
+
+
+def test_a_lone_t_is_no_negation():
+    total, *_ = toxicity.scores(pa.array(["Isn t you idiot.", "At t you idiot.", "can", "t' you idiot."]))
+    assert total.tolist() == pytest.approx([1.8, 1.8, 0, 1.8])
