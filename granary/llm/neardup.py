@@ -193,12 +193,34 @@ def class_pairs(classes: DataFrame, index: Index) -> DataFrame:
     return buckets.mapInArrow(match, "a bigint, b bigint, distance smallint")
 
 
+def classes_of(docs: DataFrame, id_col: str, text_col: str, index: Index) -> DataFrame:
+    """(sig, id, members): the documents of each signature and the least of them."""
+    signed = sign(docs, id_col, text_col, index).groupBy("id").agg(F.min("sig").alias("sig"))
+    return cut_lineage(signed.groupBy("sig").agg(F.min("id").alias("id"), F.collect_list("id").alias("members")))
+
+
+def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, block: int = 1024) -> DataFrame:
+    """(doc_id, near_id, similarity), doc_id < near_id: every pair of documents within the distance, those of equal signatures too.
+    Pairs of classes are expanded to their members, ``block`` against ``block`` of them, so a large class is the work of many tasks."""
+    index = index or Index()
+    grouped = classes_of(docs, id_col, text_col, index)
+    many = grouped.filter(F.size("members") > 1)
+    near = class_pairs(grouped.select("id", "sig"), index)
+    edges = near.unionAll(many.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("smallint").alias("distance")))
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(members) - 1) div {block}").cast("int")), lambda i: F.slice("members", i * block + 1, F.lit(block)))
+    blocks = many.select("id", F.posexplode(cut))
+    x, y = (blocks.select(F.col("id").alias(side), F.col("pos").alias(f"p{side}"), F.col("col").alias(f"m{side}")) for side in "ab")
+    blocked = edges.join(x, "a", "left").join(y, "b", "left").filter("a <> b or pa <= pb").repartition("a", "b", "pa", "pb")
+    left = blocked.select("*", F.explode(F.coalesce("ma", F.array("a"))).alias("x")).select("a", "b", "pa", "pb", "mb", "distance", "x")
+    both = left.select("*", F.explode(F.coalesce("mb", F.array("b"))).alias("y")).filter("a <> b or pa < pb or x < y")
+    return both.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("near_id"), (1 - F.col("distance") / F.lit(float(index.k))).alias("similarity"))
+
+
 def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None) -> DataFrame:
     """(doc_id, near_id, similarity): every pair of distinct signatures within the distance, and each document with the least
-    one of its own signature. similarity is the share of equal positions."""
+    one of its own signature; enough for groups, :func:`all_pairs` has the rest. similarity is the share of equal positions."""
     index = index or Index()
-    signed = sign(docs, id_col, text_col, index).groupBy("id").agg(F.min("sig").alias("sig"))
-    grouped = cut_lineage(signed.groupBy("sig").agg(F.min("id").alias("id"), F.collect_list("id").alias("members")))
+    grouped = classes_of(docs, id_col, text_col, index)
     equal = grouped.filter(F.size("members") > 1).select("id", F.explode("members").alias("near_id")).filter("id <> near_id")
     near = class_pairs(grouped.select("id", "sig"), index)
     return near.select(F.col("a").alias("doc_id"), F.col("b").alias("near_id"), (1 - F.col("distance") / F.lit(float(index.k))).alias("similarity")).unionByName(

@@ -141,3 +141,28 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 130)] + [(500, 400), (300, 400)]
     got = {r.id: r.root for r in neardup.components(spark.createDataFrame(edges, "doc_id bigint, near_id bigint")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 130)}, 400: 300, 500: 300}
+
+
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_all_pairs_hold_copies(spark, hard, block):
+    docs = near_copies(4)
+    index = neardup.Index()
+    rng = random.Random(5)
+    texts = [t for *_, t in docs]
+    texts += [t for t in texts[:20] for _ in range(rng.randint(1, 4))]
+    rng.shuffle(texts)
+    df = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    rows = neardup.all_pairs(df, block=block).collect()
+    sig, _ = neardup.signatures(pa.array(texts), index)
+    got = [(r.doc_id, r.near_id, round((1 - r.similarity) * index.k)) for r in rows]
+    assert len(got) == len(set(got)) and set(got) == signature_pairs(sig, index)
+    assert len(got) > neardup.pairs(df).count()
+    assert {(r.doc_id, r.near_id) for r in neardup.all_pairs(hard, block=block).collect()} == {(1, 2), (1, 8), (2, 8)}
+
+
+def test_query_gives_all_pairs(spark, tmp_path):
+    from granary.llm import queries
+
+    frame(spark, [(i, "the same words in each of them", "en", "a") for i in range(5)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.near_id) for r in queries.op4_minhash_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a in range(5) for b in range(a + 1, 5)}
