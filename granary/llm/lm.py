@@ -6,7 +6,8 @@ prediction costs two short softmaxes instead of one over the vocabulary. A docum
 sum of its tokens' conditional log-probabilities.
 
 Vocabulary: words are counted over all documents; the most frequent have ids of their own, the others share
-hashed ones. Training: every task runs through all windows of its documents with Adam from one common start,
+hashed ones. A word that shares an id is predicted as that id by the network and, given the id, by its share of
+the id's occurrences in the corpus, so every word has a probability of its own whatever their number; contexts see the shared id only. Training: every task runs through all windows of its documents with Adam from one common start,
 whose output biases are the corpus frequencies, and sends its parameters; they are averaged by tokens in one
 grouped sum. Tasks grow in number with the corpus, each sees a bounded part of it, and the driver gets
 one set of parameters whatever the input.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import kernel
 from granary.llm.common import map_batches
-from granary.runtime import ship
+from granary.runtime import cut_lineage, ship
 
 
 @dataclass(frozen=True)
@@ -204,10 +205,10 @@ def train_pass(docs: DataFrame, text_col: str, shape: Shape, words: np.ndarray,
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", shape: Shape | None = None, passes: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(words with ids of their own, parameters), trained on all documents."""
+def fit(docs: DataFrame, text_col: str = "text", shape: Shape | None = None, passes: int = 1, counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(words with ids of their own, parameters), trained on all documents. ``counted``: their word counts, if known."""
     shape = shape or Shape()
-    counted = word_counts(docs, text_col)
+    counted = word_counts(docs, text_col) if counted is None else counted
     top = counted.orderBy(F.desc("n"), "word").limit(shape.own)
     both = top.agg(F.collect_list(F.struct("n", "word")).alias("top")).crossJoin(counted.agg(F.sum("n").alias("total"))).first()
     rows = sorted(((r["n"], r["word"]) for r in both["top"]), key=lambda r: (-r[0], r[1]))
@@ -219,9 +220,12 @@ def fit(docs: DataFrame, text_col: str = "text", shape: Shape | None = None, pas
     return words, flat
 
 
-def score_texts(texts: pa.Array, shape: Shape, words: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By row: summed log-probability and tokens."""
-    net, total, count = Network(shape, flat), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+Scored = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def score_slices(texts: pa.Array, net: Network, words: np.ndarray) -> Iterator[Scored]:
+    """By slice: its first row; by row the summed log-probability of the ids and tokens; row, hash and times of each row's words that share an id, by row."""
+    shape = net.shape
     for at, buf, offs in kernel.slices(texts):
         h, rows = kernel.word_hashes(buf, offs)
         ids = token_ids(h, words, shape)
@@ -231,20 +235,55 @@ def score_texts(texts: pa.Array, shape: Shape, words: np.ndarray, flat: np.ndarr
             t = ids[lo : lo + shape.batch]
             order = np.argsort(t // shape.per_class, kind="stable")
             logp[lo + order] = net.forward(around[lo : lo + shape.batch][order], t[order])[0]
-        total[at : at + len(offs) - 1] = np.bincount(rows, logp, len(offs) - 1)
-        count[at : at + len(offs) - 1] = np.bincount(rows, minlength=len(offs) - 1)
+        rare = ids > shape.own
+        h, r = h[rare], rows[rare]
+        order = np.lexsort((h, r))
+        h, r = h[order], r[order]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])) if len(h) else np.zeros(0, np.int64)
+        yield at, np.bincount(rows, logp, len(offs) - 1), np.bincount(rows, minlength=len(offs) - 1), r[new], h[new], np.diff(np.append(new, len(h)))
+
+
+def score_texts(texts: pa.Array, shape: Shape, words: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By row: summed log-probability of the ids, and tokens."""
+    total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for at, logp, n, *_ in score_slices(texts, Network(shape, flat), words):
+        total[at : at + len(n)], count[at : at + len(n)] = logp, n
     return total, count
 
 
+def within_shared(counted: DataFrame, shape: Shape, words: np.ndarray) -> DataFrame:
+    """(word, within): log-probability of each word that shares an id, given the id."""
+    rest = counted.filter(~F.col("word").isin(words.view(np.int64).tolist())) if len(words) else counted
+    rest = rest.withColumn("shared", F.shiftrightunsigned("word", 8) % shape.shared)
+    sums = rest.groupBy("shared").agg(F.sum("n").alias("all"))
+    return rest.join(F.broadcast(sums), "shared").select("word", F.log(F.col("n") / F.col("all")).alias("within"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None, passes: int = 1) -> DataFrame:
     """(doc_id, log_likelihood, n_tokens, mean_log_likelihood), by a network fitted on the same documents."""
     shape = shape or Shape()
-    words, flat = fit(docs, text_col, shape, passes)
+    counted = cut_lineage(word_counts(docs, text_col))
+    words, flat = fit(docs, text_col, shape, passes, counted)
+    ship(docs.sparkSession)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total, n = score_texts(batch.column(1), shape, words, flat)
-        mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-        return pa.record_batch([batch.column(0), pa.array(total), pa.array(n), mean], ["doc_id", "log_likelihood", "n_tokens", "mean_log_likelihood"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each word of a document that shares an id; the first, or one without a word, has what else there is of the document."""
+        net = Network(shape, flat)
+        for batch in batches:
+            for at, logp, n, r, h, times in score_slices(batch.column(1), net, words):
+                none = np.setdiff1d(np.arange(len(n)), r)
+                rows, blank = np.concatenate([r, none]), np.zeros(len(none), np.int64)
+                first = np.concatenate([[True], rows[1:] != rows[:-1]])
+                shared = np.arange(len(rows)) < len(r)
+                doc = batch.column(0).take(pa.array(at + rows, mask=~first))
+                word = pa.array(np.concatenate([h.view(np.int64), blank]), mask=~shared)
+                yield pa.record_batch(
+                    [doc, batch.column(2).take(pa.array(at + rows)), word, pa.array(np.concatenate([times, blank])), pa.array(np.where(first, logp[rows], 0.0)), pa.array(np.where(first, n[rows], 0))],
+                    ["doc_id", "row", "word", "times", "logp", "n"],
+                )
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), run, f"doc_id {kind}, log_likelihood double, n_tokens bigint, mean_log_likelihood double")
+    found = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("row")).mapInArrow(run, f"doc_id {kind}, row bigint, word bigint, times bigint, logp double, n bigint")
+    value = F.col("logp") + F.coalesce(F.col("times") * F.col("within"), F.lit(0.0))
+    each = found.join(within_shared(counted, shape, words), "word", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum(value).alias("log_likelihood"), F.sum("n").alias("n_tokens"))
+    return each.select("doc_id", "log_likelihood", "n_tokens", F.expr("log_likelihood / nullif(n_tokens, 0)").alias("mean_log_likelihood"))

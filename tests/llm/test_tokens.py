@@ -245,3 +245,33 @@ def test_lm_hard_rows(hard, nothing):
         assert not empty or (r.n_tokens == 0 and r.log_likelihood == 0)
         assert r.log_likelihood <= 0
     assert lm.score(nothing).count() == 0
+
+
+def test_words_that_share_an_id_are_told_apart(spark):
+    """The probability of a shared id is divided among its words by their corpus counts."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    known = [f"known{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(known[:6] * 20 + known) for _ in range(120)) for _ in range(60)]
+    texts += [" ".join(known[20:40] * 6), " ".join(f"x{rng.random():.9f}".replace(".", "") for _ in range(120)), "", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (1, texts[1])], "doc_id bigint, text string").repartition(3)
+    shape = lm.Shape(classes=3, per_class=4, shared=3, embed=2, window=1, hidden=5, batch=64)
+    rows = lm.score(docs, shape=shape).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([*range(len(texts)), None, 1])
+
+    words, flat = lm.fit(docs, shape=shape)
+    total, n = lm.score_texts(pa.array(texts), shape, words, flat)
+    counts = Counter(w for t in [*texts, texts[0], texts[1]] for w in (t or "").split())
+    bucket = {w: int(lm.token_ids(np.array([lm.kernel.hash_text(w)], np.uint64), words, shape)[0]) for w in counts}
+    sums = Counter()
+    for w, c in counts.items():
+        sums[bucket[w]] += c
+    assert any(b > shape.own for b in bucket.values())
+    for r in rows:
+        i = 0 if r.doc_id is None else r.doc_id
+        within = sum(np.log(counts[w] / sums[bucket[w]]) for w in (texts[i] or "").split() if bucket[w] > shape.own)
+        assert r.n_tokens == n[i]
+        assert r.log_likelihood == pytest.approx(total[i] + within, rel=2e-3, abs=1e-6)
+    mean = {r.doc_id: r.mean_log_likelihood for r in rows}
+    assert mean[60] > mean[61] + 2
