@@ -4,16 +4,18 @@ A signature has ``k`` positions of ``bits`` bits, cut into k / r chunks of ``r``
 two signatures differ in at most D = chunks * (errors + 1) - 1 positions, then by the pigeonhole
 principle some chunk differs in at most ``errors`` of them, so the chunks agree once those positions
 are left out. Each signature is therefore indexed under every chunk with every choice of
-``errors`` positions masked; pairs that meet under a key are verified on the whole signature.
-Every pair within D is found: nothing is capped.
+``errors`` positions masked; pairs that meet under a key are verified on the whole signature, and count
+under the first key that they share only. Every pair within D is found: nothing is capped.
 
-Equal signatures are collapsed first, so copies cost one entry, and only keys that two
-signatures share go on to the stage that carries signatures.
+Equal signatures are one class, with a size. Pairs are never emitted: what a bucket gives
+is, for each class in it, how many documents it is near to and one link of a spanning forest. So the output has a row for each
+document and grows with them, whatever the groups. A key that more than ``block`` classes share is cut into blocks by hash,
+and each two of its blocks meet in a task of their own; no bucket is ever held in one row.
 
 Defined results: texts are compared by their lower-cased words, in shingles of ``width`` words
 (a shorter text is one shingle). Null texts and texts without a word have no signature: they
-are near nothing and stay. A null doc_id is never paired and its row stays. Rows that repeat a
-doc_id count once, with the least signature. An empty table gives an empty table.
+are near nothing and stay. A row without a doc_id is linked to nothing, has no row in :func:`groups` and stays. Rows that repeat a
+doc_id count once, with the least signature. Ids may be of any type that can be ordered. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,102 +133,137 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, index: Index) -> DataFrame:
-    """(id, sig) of the documents that have a doc_id and a word."""
+    """(id, sig) of the rows that have a doc_id; sig is null without a word."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sig, some = signatures(batch.column(1), index)
-        return pa.record_batch([batch.column(0).filter(pa.array(some)), _binary(sig[some])], ["id", "sig"])
-
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col)
-    return map_batches(rows, run, "id bigint, sig binary")
-
-
-def verified(ids: np.ndarray, sig: np.ndarray, key: int, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of one key's signatures within the distance, each pair under the first key that it shares only."""
-    order = np.argsort(ids, kind="stable")
-    ids, sig = ids[order], sig[order]
-    block = max(1, (4 << 20) // (len(ids) * index.k))
-    for lo in range(0, len(ids) - 1, block):
-        hi = min(lo + block, len(ids) - 1)
-        differ = sig[lo:hi, None, :] != sig[None, lo + 1 :, :]
-        d = differ.sum(2, dtype=np.int16)
-        i, j = np.nonzero((d <= index.distance) & (np.arange(lo, hi)[:, None] < np.arange(lo + 1, len(ids))[None, :]))
-        if not len(i):
-            continue
-        wrong = differ[i, j].reshape(len(i), index.chunks, index.r)
-        chunk = np.argmax(wrong.sum(2) <= index.errors, axis=1)
-        bad = wrong[np.arange(len(i)), chunk]
-        shared = np.stack([~bad[:, list(kept)].any(1) for kept in index.masks], 1)
-        keep = chunk * len(index.masks) + np.argmax(shared, axis=1) == key & 255
-        if keep.any():
-            yield ids[lo + i[keep]], ids[lo + 1 + j[keep]], d[i[keep], j[keep]]
+        return pa.record_batch([batch.column(0), pc.if_else(pa.array(some), _binary(sig), None)], ["id", "sig"])
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col)
+    return map_batches(rows, run, f"id {rows.schema[0].dataType.simpleString()}, sig binary")
+
 
+PAIRS_AT_ONCE = 1 << 16
 
-def class_pairs(classes: DataFrame, index: Index) -> DataFrame:
-    """(a, b, distance) with a < b of all distinct signatures within the distance. ``classes``: (id, sig)."""
+
+def paired(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j) with low[i] <= j < high[i], some at a time."""
+    count = np.maximum(high - low, 0)
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(count):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        n = count[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        yield i, low[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        at = end
+
+
+def within(i: np.ndarray, j: np.ndarray, sig: np.ndarray, place: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of signatures those within the distance whose first shared key is the one they are listed under; place: its chunk and mask."""
+    differ = sig[i] != sig[j]
+    near = np.flatnonzero(differ.sum(1, dtype=np.int16) <= index.distance)
+    if not len(near):
+        return i[:0], j[:0]
+    wrong = differ[near].reshape(len(near), index.chunks, index.r)
+    chunk = np.argmax(wrong.sum(2) <= index.errors, axis=1)
+    bad = wrong[np.arange(len(near)), chunk]
+    shared = np.stack([~bad[:, list(kept)].any(1) for kept in index.masks], 1)
+    near = near[chunk * len(index.masks) + np.argmax(shared, axis=1) == place[i[near]]]
+    return i[near], j[near]
+
+
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the components of i and j in place; a label is the least row of a component, once all pointers are followed."""
+    while len(i):
+        x, y = label[i], label[j]
+        go = x != y
+        i, j, x, y = i[go], j[go], x[go], y[go]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            onward = label[label]
+            if (onward == label).all():
+                break
+            label[:] = onward
+
+
+def bucket_links(bucket: np.ndarray, side: np.ndarray, place: np.ndarray, size: np.ndarray, sig: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """By row: documents of its bucket that it is near to, and the row that its component is named by. Rows are sorted by bucket and side; rows of side 0 meet each
+    other and those of side 2, rows of side 1 only those of side 2."""
+    n, label = np.zeros(len(bucket), np.int64), np.arange(len(bucket))
+    cut = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    first = np.flatnonzero(cut)
+    of = np.cumsum(cut) - 1
+    end = np.append(first[1:], len(bucket))
+    twos = first + np.add.reduceat((side < 2).astype(np.int64), first)  # where side 2 begins
+    low = np.where(side == 0, np.arange(len(bucket)) + 1, twos[of])
+    high = np.where(side == 2, 0, end[of])
+    for i, j in paired(low, high):
+        i, j = within(i, j, sig, place, index)
+        np.add.at(n, i, size[j])
+        np.add.at(n, j, size[i])
+        united(label, i, j)
+    return n, label
+
+
+def class_links(classes: DataFrame, index: Index, block: int = 2048) -> DataFrame:
+    """(id, peer, n): of distinct signatures the documents near to them, and links that span each group. ``classes``: (id bigint, size, sig). Several rows an id."""
     ship(classes.sparkSession)
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, index.k)
         return pa.record_batch([batch.column(0), _lists(index_keys(sig, index).view(np.int64), pa.int64())], ["id", "keys"])
 
-    keyed = map_batches(classes, keys, "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
-    entries = shared.select("key", F.explode("ids").alias("id")).join(classes, "id")
+    keyed = map_batches(classes.select("id", "sig"), keys, "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("key"))
+    # Keys that more classes share than a bucket holds are counted first, so that their lists are never gathered.
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    hot, _ = sized(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), 16)
+    split = keyed.join(hot, "key", "left")
+    few = split.filter("blocks is null").groupBy("key").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
+    flat = few.select("key", F.explode("ids").alias("id"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"))
+    own = F.expr("pmod(xxhash64(id), blocks)").cast("int")
+    cells = split.filter("blocks is not null").select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # Two blocks meet in the cell (lesser, greater); in the cell of a block with itself all rows meet each other.
+    crossed = cells.select("key", "id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"))
+    entries = flat.unionAll(crossed).join(classes, "id")
+    ordered = entries.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").select("key", "x", "y", "side", "id", "size", "sig")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, d, rows = [], [], [], 0
+        kept: list[pa.RecordBatch] = []
+
+        def found(whole: pa.Table) -> pa.RecordBatch | None:
+            if not whole.num_rows:
+                return None
+            key, x, y, side, ids, size = (whole.column(c).to_numpy() for c in range(6))
+            sig = np.frombuffer(b"".join(whole.column(6).to_pylist()), np.uint16).reshape(-1, index.k)
+            bucket = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            n, label = bucket_links(bucket, side, key & 255, size, sig, index)
+            some = np.flatnonzero(n)
+            if not len(some):
+                return None
+            peer = pa.array(ids[label[some]], mask=label[some] == some)
+            return pa.record_batch([pa.array(ids[some]), peer, pa.array(n[some])], ["id", "peer", "n"])
+
         for batch in batches:
-            for key, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                m = members.values
-                ids = m.field("id").to_numpy()
-                sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint16).reshape(-1, index.k)
-                for x, y, z in verified(ids, sig, key, index):
-                    a.append(x), b.append(y), d.append(z)
-                    rows += len(x)
-                if rows > 50_000:
-                    yield pa.record_batch([pa.array(np.concatenate(v)) for v in (a, b, d)], ["a", "b", "distance"])
-                    a, b, d, rows = [], [], [], 0
-        if rows:
-            yield pa.record_batch([pa.array(np.concatenate(v)) for v in (a, b, d)], ["a", "b", "distance"])
-
-    buckets = entries.groupBy("key").agg(F.collect_list(F.struct("id", "sig")).alias("members"))
-    return buckets.mapInArrow(match, "a bigint, b bigint, distance smallint")
-
-
-def classes_of(docs: DataFrame, id_col: str, text_col: str, index: Index) -> DataFrame:
-    """(sig, id, members): the documents of each signature and the least of them."""
-    signed = sign(docs, id_col, text_col, index).groupBy("id").agg(F.min("sig").alias("sig"))
-    return cut_lineage(signed.groupBy("sig").agg(F.min("id").alias("id"), F.collect_list("id").alias("members")))
-
-
-def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, block: int = 1024) -> DataFrame:
-    """(doc_id, near_id, similarity), doc_id < near_id: every pair of documents within the distance, those of equal signatures too.
-    Pairs of classes are expanded to their members, ``block`` against ``block`` of them, so a large class is the work of many tasks."""
-    index = index or Index()
-    grouped = classes_of(docs, id_col, text_col, index)
-    many = grouped.filter(F.size("members") > 1)
-    near = class_pairs(grouped.select("id", "sig"), index)
-    edges = near.unionAll(many.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("smallint").alias("distance")))
-    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(members) - 1) div {block}").cast("int")), lambda i: F.slice("members", i * block + 1, F.lit(block)))
-    blocks = many.select("id", F.posexplode(cut))
-    x, y = (blocks.select(F.col("id").alias(side), F.col("pos").alias(f"p{side}"), F.col("col").alias(f"m{side}")) for side in "ab")
-    blocked = edges.join(x, "a", "left").join(y, "b", "left").filter("a <> b or pa <= pb").repartition("a", "b", "pa", "pb")
-    left = blocked.select("*", F.explode(F.coalesce("ma", F.array("a"))).alias("x")).select("a", "b", "pa", "pb", "mb", "distance", "x")
-    both = left.select("*", F.explode(F.coalesce("mb", F.array("b"))).alias("y")).filter("a <> b or pa < pb or x < y")
-    return both.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("near_id"), (1 - F.col("distance") / F.lit(float(index.k))).alias("similarity"))
-
-
-def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None) -> DataFrame:
-    """(doc_id, near_id, similarity): every pair of distinct signatures within the distance, and each document with the least
-    one of its own signature; enough for groups, :func:`all_pairs` has the rest. similarity is the share of equal positions."""
-    index = index or Index()
-    grouped = classes_of(docs, id_col, text_col, index)
-    equal = grouped.filter(F.size("members") > 1).select("id", F.explode("members").alias("near_id")).filter("id <> near_id")
-    near = class_pairs(grouped.select("id", "sig"), index)
-    return near.select(F.col("a").alias("doc_id"), F.col("b").alias("near_id"), (1 - F.col("distance") / F.lit(float(index.k))).alias("similarity")).unionByName(
-        equal.select(F.col("id").alias("doc_id"), "near_id", F.lit(1.0).alias("similarity"))
-    )
+            # The last bucket may go on in the next batch; it holds no more than two blocks.
+            last = [batch.column(c)[-1].as_py() for c in range(3)]
+            same = np.ones(batch.num_rows, bool)
+            for c, v in enumerate(last):
+                same &= batch.column(c).to_numpy() == v
+            at = int(np.argmax(same)) if same[-1] else batch.num_rows
+            before = kept[0].slice(0, 1) if kept else None
+            goes_on = before is not None and [before.column(c)[0].as_py() for c in range(3)] == last
+            if at == 0 and goes_on:
+                kept.append(batch)
+                continue
+            done = [*kept, batch.slice(0, at)]
+            kept = [batch.slice(at)]
+            if (out := found(pa.Table.from_batches(done))) is not None:
+                yield out
+        if kept and (out := found(pa.Table.from_batches(kept))) is not None:
+            yield out
+
+    return ordered.mapInArrow(match, "id bigint, peer bigint, n bigint")
 
 
 def components(edges: DataFrame, a: str = "doc_id", b: str = "near_id") -> DataFrame:
@@ -247,8 +285,36 @@ def components(edges: DataFrame, a: str = "doc_id", b: str = "near_id") -> DataF
         before = now
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None) -> DataFrame:
+HEAVY = 1024  # classes, the largest, whose members are found by broadcast; any other holds less than a thousandth of the rows
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, block: int = 2048) -> DataFrame:
+    """(doc_id, class_id, n_links): for each document the least doc_id of its group of near duplicates, linked one to the next, and how many other documents are
+    within the distance of it. Every link counts, those between copies too."""
+    index = index or Index()
+    signed = cut_lineage(sign(docs, id_col, text_col, index).groupBy("id").agg(F.min("sig").alias("sig")))
+    classes = signed.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
+    classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()))
+    links = cut_lineage(class_links(classes.select(F.col("class").alias("id"), "size", "sig"), index, block))
+    roots = components(links.filter("peer is not null"), "id", "peer").toDF("class", "root")
+    near = links.groupBy(F.col("id").alias("class")).agg(F.sum("n").alias("n"))
+    linked = near.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")).join(classes.select("class", "least"), "class")
+    names = linked.groupBy("root").agg(F.min("least").alias("name"))
+    named = linked.join(names, "root").select("class", "n", "name")
+    both = classes.join(named, "class", "left").filter("size > 1 or n is not null")
+    full = cut_lineage(both.select("sig", F.coalesce("name", "least").alias("name"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"), "size"))
+    heavy = full.orderBy(F.desc("size"), "sig").limit(HEAVY)
+    heavy = cut_lineage(heavy.select("sig", F.col("name").alias("hot_name"), F.col("n").alias("hot_n")))
+    split = signed.filter("sig is not null").join(F.broadcast(heavy), "sig", "left")
+    columns = lambda name, n: [F.col("id").alias("doc_id"), F.coalesce(name, "id").alias("class_id"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n_links")]
+    hot = split.filter("hot_n is not null").select(*columns("hot_name", "hot_n"))
+    rest = split.filter("hot_n is null").select("id", "sig").join(full.select("sig", "name", "n"), "sig", "left").select(*columns("name", "n"))
+    none = signed.filter("sig is null").select(*columns("id", F.lit(0)))
+    return hot.unionAll(rest).unionAll(none)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, block: int = 2048) -> DataFrame:
     """The rows of ``docs`` but for those whose group of near duplicates has a smaller doc_id."""
     (lose,) = fresh(docs, "loser")
-    losers, _ = sized(components(pairs(docs, id_col, text_col, index)).select(F.col("id").alias(lose)), 24)
+    losers, _ = sized(groups(docs, id_col, text_col, index, block).filter("class_id <> doc_id").select(F.col("doc_id").alias(lose)), 24)
     return docs.join(losers, F.col(id_col) == F.col(lose), "left_anti")

@@ -36,7 +36,7 @@ def test_repeated_winner_stays_once(spark):
 def test_empty(nothing):
     assert exact_dedup.kept_ids(nothing).count() == 0
     assert exact_dedup.deduplicate(nothing).count() == 0
-    assert neardup.pairs(nothing).count() == 0
+    assert neardup.groups(nothing).count() == 0
     assert neardup.deduplicate(nothing).count() == 0
 
 
@@ -53,41 +53,65 @@ def test_misra_gries_keeps_what_is_frequent():
         assert n - len(stream) / 9 <= low.get(key, 0) <= n
 
 
-def signature_pairs(sig, index):
-    found = set()
+def by_brute_force(sig, size, distance):
+    """Links and least member by row of signatures."""
+    near = [(sig[a] != sig).sum(1) <= distance for a in range(len(sig))]
+    links = [int(size[x].sum() - 1) for x in near]
+    root = list(range(len(sig)))
     for a in range(len(sig)):
-        d = (sig[a] != sig[a + 1 :]).sum(1)
-        found |= {(a, a + 1 + int(b), int(d[b])) for b in np.flatnonzero(d <= index.distance)}
-    return found
+        for b in np.flatnonzero(near[a]):
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    return links, root
 
 
-@pytest.mark.parametrize("index", [neardup.Index(k=12, r=4, errors=1), neardup.Index(k=12, r=4, errors=2), neardup.Index(k=6, r=3, errors=0), neardup.Index()])
-def test_every_pair_within_the_distance(spark, index):
-    rng = np.random.default_rng(index.k)
+def clusters(index, seed=None):
+    rng = np.random.default_rng(index.k if seed is None else seed)
     base = rng.integers(0, 4, (25, index.k), dtype=np.uint16)
     sig = np.repeat(base, 6, axis=0)
     for row in sig:
         where = rng.permutation(index.k)[: rng.integers(0, index.distance + 3)]
         row[where] = rng.integers(0, 4, len(where))
-    sig = np.unique(sig, axis=0)
-    classes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "id bigint, sig binary")
-    got = [(r.a, r.b, r.distance) for r in neardup.class_pairs(classes, index).collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == signature_pairs(sig, index)
+    return np.unique(sig, axis=0), rng
 
 
-def test_a_hot_key_is_searched_in_blocks():
-    index = neardup.Index()
+@pytest.mark.parametrize("block", [1, 3, 2048])
+@pytest.mark.parametrize("index", [neardup.Index(k=12, r=4, errors=1), neardup.Index(k=12, r=4, errors=2), neardup.Index(k=6, r=3, errors=0), neardup.Index()])
+def test_every_link_within_the_distance(spark, index, block):
+    sig, rng = clusters(index)
+    size = rng.integers(1, 5, len(sig))
+    classes = spark.createDataFrame([(i, int(n), bytearray(s.tobytes())) for i, (n, s) in enumerate(zip(size, sig, strict=True))], "id bigint, size bigint, sig binary")
+    links, root = by_brute_force(sig, size, index.distance)
+    got, label = np.zeros(len(sig), int), np.arange(len(sig))
+    for r in neardup.class_links(classes, index, block).collect():
+        got[r.id] += r.n
+        if r.peer is not None:
+            neardup.united(label, np.array([r.id]), np.array([r.peer]))
+    assert (got + size - 1).tolist() == links
+    assert label.tolist() == root
+
+
+def test_a_hot_key_is_searched_in_blocks(spark):
+    """100,000 signatures under one key: no task has more than two blocks of them, and what is emitted is a row for each at most."""
+    index = neardup.Index(k=8, r=4, errors=1)
     rng = np.random.default_rng(0)
-    sig = np.tile(rng.integers(0, 9, index.k, dtype=np.uint16), (1500, 1))
-    sig[np.arange(1500), rng.integers(0, index.k, 1500)] += rng.integers(1, 900, 1500).astype(np.uint16)
-    keys = neardup.index_keys(sig, index).view(np.int64)
-    got = 0
-    for key in np.unique(keys):
-        m = np.flatnonzero((keys == key).any(1))
-        if len(m) > 1:
-            got += sum(len(a) for a, _, _ in neardup.verified(m, sig[m], int(key), index))
-    assert got == 1500 * 1499 // 2
+    sig = np.unique(np.concatenate([np.full((20_000, 3), 7), rng.integers(0, 60_000, (20_000, 5))], 1).astype(np.uint16), axis=0)
+    rows = [(i, 1, bytearray(s.tobytes())) for i, s in enumerate(sig)]
+    classes = spark.createDataFrame(rows, "id bigint, size bigint, sig binary").repartition(8)
+    got = neardup.class_links(classes, index).groupBy("id").sum("n").collect()
+    near = {r[0]: r[1] for r in got}
+    for i in rng.permutation(len(sig))[:25].tolist():
+        assert near.get(i, 0) == int(((sig[i] != sig).sum(1) <= index.distance).sum() - 1)
+
+
+def test_pairs_are_made_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS_AT_ONCE", 10)
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 30, 40)
+    high = low + rng.integers(-3, 25, 40)
+    parts = list(neardup.paired(low, high))
+    assert [(int(a), int(b)) for i, j in parts for a, b in zip(i, j, strict=True)] == [(i, j) for i in range(40) for j in range(low[i], high[i])]
+    assert len(parts) > 10
 
 
 def test_signatures_estimate_jaccard():
@@ -113,25 +137,44 @@ def test_near_copies_are_found_and_others_are_not(spark):
     docs = near_copies(1)
     df = frame(spark, [(i, t, "en", "a") for i, _, t in docs])
     group = {i: g for i, g, _ in docs}
-    got = {(r.doc_id, r.near_id) for r in neardup.pairs(df).collect()}
-    want = {(a, b) for a in group for b in group if a < b and group[a] == group[b]}
-    assert got <= want
-    assert len(got) >= 0.97 * len(want)
-    kept = sorted(r.doc_id for r in neardup.deduplicate(df).collect())
-    assert kept == sorted({min(i for i in group if group[i] == g) for g in group.values()})
+    first = {g: min(i for i in group if group[i] == g) for g in group.values()}
+    rows = neardup.groups(df).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: first[g] for i, g in group.items()}
+    assert sum(r.n_links for r in rows) >= 0.97 * sum(list(group.values()).count(g) - 1 for g in group.values())
+    assert sorted(r.doc_id for r in neardup.deduplicate(df).collect()) == sorted(first.values())
+
+
+def shuffled_copies():
+    texts, rng = [t for *_, t in near_copies(4)], random.Random(5)
+    texts += [t for t in texts[:20] for _ in range(rng.randint(1, 4))]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("block", [1, 2048])
+@pytest.mark.parametrize("heavy", [0, 3, 1024])
+def test_groups_against_brute_force(spark, monkeypatch, block, heavy):
+    monkeypatch.setattr(neardup, "HEAVY", heavy)
+    texts, index = shuffled_copies(), neardup.Index()
+    df = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    sig, _ = neardup.signatures(pa.array(texts), index)
+    links, root = by_brute_force(sig, np.ones(len(sig), int), index.distance)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.groups(df, block=block).collect()}
+    assert got == {i: (root[i], links[i]) for i in range(len(texts))}
 
 
-def test_pairs_against_brute_force(spark):
-    docs = near_copies(2)
-    index = neardup.Index()
-    sig, _ = neardup.signatures(pa.array([t for *_, t in docs]), index)
-    got = {(r.doc_id, r.near_id, round((1 - r.similarity) * index.k)) for r in neardup.pairs(frame(spark, [(i, t, "en", "a") for i, _, t in docs])).collect()}
-    assert got == signature_pairs(sig, index)
+def test_ids_of_any_type(spark):
+    texts = shuffled_copies()
+    rows = [(f"doc-{i:04d}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "name string, text string")
+    numbers = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in neardup.groups(df, "name").collect()} == {(f"doc-{r.doc_id:04d}", f"doc-{r.class_id:04d}", r.n_links) for r in numbers}
+    assert {r.name for r in neardup.deduplicate(df, "name").collect()} == {f"doc-{r.class_id:04d}" for r in numbers}
 
 
 def test_hard_rows(hard):
-    got = {(r.doc_id, r.near_id) for r in neardup.pairs(hard).collect()}
-    assert got == {(1, 2), (1, 8)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.groups(hard).collect()}
+    assert got == {**{i: (i, 0) for i in (3, 4, 5, 6, 7, 9)}, 1: (1, 2), 2: (1, 2), 8: (1, 2)}
     out = neardup.deduplicate(hard)
     assert out.columns == hard.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, i) for i in (1, 3, 4, 5, 6, 7, 9)] + [(True, 0)] * 2
@@ -143,26 +186,9 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 130)}, 400: 300, 500: 300}
 
 
-@pytest.mark.parametrize("block", [1, 2, 1024])
-def test_all_pairs_hold_copies(spark, hard, block):
-    docs = near_copies(4)
-    index = neardup.Index()
-    rng = random.Random(5)
-    texts = [t for *_, t in docs]
-    texts += [t for t in texts[:20] for _ in range(rng.randint(1, 4))]
-    rng.shuffle(texts)
-    df = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
-    rows = neardup.all_pairs(df, block=block).collect()
-    sig, _ = neardup.signatures(pa.array(texts), index)
-    got = [(r.doc_id, r.near_id, round((1 - r.similarity) * index.k)) for r in rows]
-    assert len(got) == len(set(got)) and set(got) == signature_pairs(sig, index)
-    assert len(got) > neardup.pairs(df).count()
-    assert {(r.doc_id, r.near_id) for r in neardup.all_pairs(hard, block=block).collect()} == {(1, 2), (1, 8), (2, 8)}
-
-
-def test_query_gives_all_pairs(spark, tmp_path):
+def test_query_has_a_row_for_each_document(spark, tmp_path):
     from granary.llm import queries
 
-    frame(spark, [(i, "the same words in each of them", "en", "a") for i in range(5)]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id, r.near_id) for r in queries.op4_minhash_near_dedup(spark, str(tmp_path)).collect()}
-    assert got == {(a, b) for a in range(5) for b in range(a + 1, 5)}
+    frame(spark, [(i, "the same words in each of them", "en", "a") for i in range(5)] + [(9, "other", "en", "a")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.op4_minhash_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(i, 0, 4) for i in range(5)} | {(9, 9, 0)}
