@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from granary.llm import chat, lm, tokencount, unigram
 from tests.conftest import SF
@@ -148,6 +149,41 @@ def test_corpus_against_brute_force_and_round_trip(spark):
     assert all(back[i] == t for i, t in texts.items())
 
 
+def test_merge_order_becomes_log_scores():
+    pieces, _ = unigram.read_pieces(MODEL)
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=unigram.MODEL)
+    normal = sorted((i for i, p in enumerate(pieces) if p[2] == unigram.NORMAL), key=lambda i: -own.get_score(i))
+    score = np.array([pieces[i][1] for i in normal])
+    assert np.exp(score).sum() == pytest.approx(1, abs=1e-5)
+    assert np.exp(score[0] - score) == pytest.approx(np.arange(1, len(score) + 1), rel=1e-5)
+    assert unigram.zipf([("a", 5.0, 3), ("b", -1.0, 1), ("c", 0.0, 1)]) == [("a", 5.0, 3), ("b", pytest.approx(np.log(1 / 3)), 1), ("c", pytest.approx(np.log(2 / 3)), 1)]
+
+
+def test_memory_is_bounded(monkeypatch):
+    """Forgetting changes nothing."""
+    rng = random.Random(6)
+    texts = pa.array([" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 9, 400]))) for _ in range(60)) for _ in range(40)])
+    want = unigram.Unigram(MODEL).encode(texts).to_pylist()
+    monkeypatch.setattr(unigram, "SOLVED", 3000)
+    m = unigram.Unigram(MODEL)
+    assert [m.encode(texts.slice(i, 1)).to_pylist()[0] for i in range(40)] == want and len(m.solved) <= 3000 + 60 * 400
+    monkeypatch.setattr(tokencount, "MEMORY", 5)
+    c = tokencount.Counts(tokencount.proven(RANKS)[:1000], RANKS, tokencount.PATTERN)
+    e = engine()
+    for t in texts.to_pylist():
+        assert c.count(t)[0] == len(e.encode_ordinary(t))
+    assert len(c) <= 2 * c.limit and all(len(k) < tokencount.LONG for k in c)
+
+
+def test_decoding_sql(spark, duck):
+    from granary.llm import queries
+    from tests import oracle
+
+    assert oracle.differences(queries.queries()["sentencepiece_decoding"](spark, SF), queries.oracle_sql()["sentencepiece_decoding"], duck) == ""
+
+
 def test_a_trie_holds_its_keys_only():
     keys = [(w.encode(), i) for i, w in enumerate(["a", "ab", "abc", "b", "bcd", "é", "日本", "z" * 40])]
     t = unigram.DoubleArray(keys)
@@ -188,7 +224,7 @@ def test_gradient_against_differences():
     target, context = target[order], context[order]
 
     def loss(x):
-        return -float(lm.Network(shape, x).forward(context, target)[0].astype(float).mean())
+        return -float(lm.Network(shape, x).forward(context, target).astype(float).mean())
 
     net = lm.Network(shape, flat.copy())
     net.train(context, target)
@@ -204,7 +240,7 @@ def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(1)
     flat = rng.normal(0, 1, sum(int(np.prod(d)) for d in shape.layout().values())).astype(np.float32)
     context = np.tile(rng.integers(0, shape.size, (1, 4)), (shape.size, 1)).astype(np.int32)
-    logp, _ = lm.Network(shape, flat).forward(context, np.arange(shape.size, dtype=np.int32))
+    logp = lm.Network(shape, flat).forward(context, np.arange(shape.size, dtype=np.int32))
     assert np.exp(logp).sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -225,13 +261,12 @@ def test_word_order_is_learnt(spark):
             out.append(w)
         return out
 
-    docs = spark.createDataFrame([(i, " ".join(walk(300))) for i in range(400)], "doc_id bigint, text string").repartition(4)
-    shape = lm.Shape(batch=512)
-    words, flat = lm.fit(docs, shape=shape)
+    docs = spark.createDataFrame([(i, " ".join(walk(300))) for i in range(400)], "doc_id bigint, text string")
+    shape, counts, flat = lm.fit(docs, shape=lm.Shape(batch=512, shard_tokens=10_000))
     held = walk(2000)
     mixed = held[:]
     rng.shuffle(mixed)
-    total, n = lm.score_texts(pa.array([" ".join(held), " ".join(mixed)]), shape, words, flat)
+    total, n = lm.score_texts(pa.array([" ".join(held), " ".join(mixed)]), shape, counts, flat)
     assert n.tolist() == [2000, 2000]
     assert total[0] / 2000 > -2.5 > -np.log(50) > total[1] / 2000
 
@@ -247,31 +282,93 @@ def test_lm_hard_rows(hard, nothing):
     assert lm.score(nothing).count() == 0
 
 
-def test_words_that_share_an_id_are_told_apart(spark):
-    """The probability of a shared id is divided among its words by their corpus counts."""
-    from collections import Counter
-
-    rng = random.Random(8)
+def corpus(seed=8):
+    rng = random.Random(seed)
     known = [f"known{i}" for i in range(40)]
     texts = [" ".join(rng.choice(known[:6] * 20 + known) for _ in range(120)) for _ in range(60)]
-    texts += [" ".join(known[20:40] * 6), " ".join(f"x{rng.random():.9f}".replace(".", "") for _ in range(120)), "", None]
+    return [*texts, " ".join(known[20:40] * 6), " ".join(f"x{rng.random():.9f}".replace(".", "") for _ in range(120)), "", None, texts[0], texts[1]]
+
+
+SMALL = lm.Shape(classes=3, per_class=4, shared=3, embed=2, window=1, hidden=5, batch=64, rounds=2, shard_tokens=1500)
+
+
+def plain_scores(texts, counted, shape, counts, flat):
+    """Document scores word by word from the parameters: plain loops, no slices, sorting or Spark."""
+    views = lm.Network(shape, flat).p
+    own = {int(w): i + 1 for i, w in enumerate(counts.words)}
+    ids_of = {}
+    for w in counted:
+        h = lm.kernel.hash_text(w)
+        ids_of[w] = own.get(h, shape.own + 1 + (h >> 8) % shape.shared)
+    sums = {}
+    for w, n in counted.items():
+        sums[ids_of[w]] = sums.get(ids_of[w], 0) + n
+    out = []
+    for text in texts:
+        words = (text or "").split()
+        ids, score = [ids_of[w] for w in words], 0.0
+        for at, w in enumerate(words):
+            around = [ids[at + j] if 0 <= at + j < len(ids) else 0 for j in [*range(-shape.window, 0), *range(1, shape.window + 1)]]
+            x = np.concatenate([views["E"][i] for i in around]).astype(float)
+            h = np.tanh(x @ views["W"] + views["b"])
+            k, within = divmod(ids[at], shape.per_class)
+            a, q = h @ views["C"] + views["cb"], h @ views["K"][k] + views["kb"][k]
+            score += a[k] - np.log(np.exp(a).sum()) + q[within] - np.log(np.exp(q).sum())
+            if ids[at] > shape.own:
+                score += np.log(counted[w] / sums[ids[at]])
+        out.append((score, len(words)))
+    return out
+
+
+@pytest.mark.parametrize("known", [0, 30, 1000])
+def test_scores_against_brute_force(spark, known):
+    """Whatever number of words is known to the tasks; repeated rows, null ids and ties too."""
+    from collections import Counter
+    from dataclasses import replace
+
+    texts = corpus()
     docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (1, texts[1])], "doc_id bigint, text string").repartition(3)
-    shape = lm.Shape(classes=3, per_class=4, shared=3, embed=2, window=1, hidden=5, batch=64)
+    shape = replace(SMALL, known=known)
     rows = lm.score(docs, shape=shape).collect()
     assert Counter(r.doc_id for r in rows) == Counter([*range(len(texts)), None, 1])
-
-    words, flat = lm.fit(docs, shape=shape)
-    total, n = lm.score_texts(pa.array(texts), shape, words, flat)
-    counts = Counter(w for t in [*texts, texts[0], texts[1]] for w in (t or "").split())
-    bucket = {w: int(lm.token_ids(np.array([lm.kernel.hash_text(w)], np.uint64), words, shape)[0]) for w in counts}
-    sums = Counter()
-    for w, c in counts.items():
-        sums[bucket[w]] += c
-    assert any(b > shape.own for b in bucket.values())
+    counted = Counter(w for t in [*texts, texts[0], texts[1]] for w in (t or "").split())
+    want = plain_scores(texts, counted, *lm.fit(docs, shape=shape))
     for r in rows:
-        i = 0 if r.doc_id is None else r.doc_id
-        within = sum(np.log(counts[w] / sums[bucket[w]]) for w in (texts[i] or "").split() if bucket[w] > shape.own)
-        assert r.n_tokens == n[i]
-        assert r.log_likelihood == pytest.approx(total[i] + within, rel=2e-3, abs=1e-6)
+        score, n = want[0 if r.doc_id is None else r.doc_id]
+        assert r.n_tokens == n
+        assert r.log_likelihood == pytest.approx(score, rel=1e-4, abs=1e-6)
     mean = {r.doc_id: r.mean_log_likelihood for r in rows}
-    assert mean[60] > mean[61] + 2
+    assert mean[60] > mean[61] + 2 and mean[64] == mean[0]
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark):
+    texts = corpus(9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    one, many = ({r.doc_id: r.log_likelihood for r in lm.score(d, shape=SMALL).collect()} for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(16)))
+    assert one.keys() == many.keys()
+    assert all(one[i] == pytest.approx(many[i], rel=1e-6) for i in one)
+
+
+def test_all_documents_are_trained_on_once(spark, monkeypatch):
+    seen = []
+    texts = corpus(10)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    real = lm.summed
+    monkeypatch.setattr(lm, "summed", lambda rows, n: seen.append((n, real(rows, n).first().seen)) or real(rows, n))
+    lm.fit(docs, shape=SMALL)
+    assert sum(n for _, n in seen) == sum(len((t or "").split()) for t in texts)
+    assert len(seen) == 2 and all(n > 1 for n, _ in seen)
+
+
+def test_sums_of_many_shards(spark):
+    rng = np.random.default_rng(2)
+    parts = rng.normal(0, 1, (300, 7))
+    rows = spark.createDataFrame([(i, i + 1, bytearray((p * (i + 1)).tobytes())) for i, p in enumerate(parts)], lm.ROW).repartition(5)
+    (got,) = lm.summed(rows, 300).collect()
+    assert got.seen == 300 * 301 // 2
+    assert np.allclose(np.frombuffer(got.flat) / got.seen, np.average(parts, 0, np.arange(1, 301)))
+
+
+def test_the_vocabulary_follows_the_corpus():
+    sizes = [lm.fitting(10**e).size for e in range(0, 16)]
+    assert sizes == sorted(sizes) and sizes[0] == 1024 and sizes[8] > 1500 and sizes[-1] == 16_384
