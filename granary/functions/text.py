@@ -21,7 +21,7 @@ def any_of(words: Iterable[str]) -> str:
 
 def words(text: ColumnOrName) -> Column:
     """White-space separated words as they are; none for null or empty text."""
-    return F.filter(F.split(F.coalesce(col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(col(text), F.lit("")), r"\s+"), "")
 
 
 def tokens(text: ColumnOrName) -> Column:
@@ -232,14 +232,14 @@ def character_jaccard(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 def bm25_without_idf(query: ColumnOrName, text: ColumnOrName, k1: float = 1.5, b: float = 0.75, average: float = 500.0) -> Column:
     """Saturated term frequencies summed over the query's words, each as often as it is repeated there."""
-    terms = tokens(text)
-    size = F.size(terms)
 
-    def part(q: Column) -> Column:
-        tf = F.size(F.filter(terms, lambda t: t == q)).cast("double")
-        return F.when(tf == 0, F.lit(0.0)).otherwise(tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / F.lit(average))))
+    def total(terms: Column) -> Column:
+        norm = k1 * (1 - b + b * F.size(terms) / F.lit(average))
+        tfs = F.transform(tokens(query), lambda q: (F.size(terms) - F.size(F.array_remove(terms, q))).cast("double"))
+        return F.aggregate(tfs, F.lit(0.0), lambda x, tf: x + tf * (k1 + 1) / (tf + norm))
 
-    return F.aggregate(F.transform(tokens(query), part), F.lit(0.0), lambda x, y: x + y)
+    # The words are bound to a variable, so that they are split once a row and not once for each of the query's.
+    return F.element_at(F.transform(F.array(tokens(text)), total), 1)
 
 
 # --- rendering

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from granary.functions.numeric import idf, tf_part
 from granary.functions.text import tokens
+from granary.runtime import cut_lineage
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,22 +38,45 @@ def upsert(old: DataFrame, new: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return old.join(new.select(id_col).distinct(), id_col, "left_anti").unionByName(new)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top_k: int | None = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank) for rows (query_id, text); a word repeated in a query counts again. Ties go by doc_id.
-
-    Only the queries' terms leave the scan: document lengths come along with each row's explode, so
-    there is no join back to documents, and terms that no query has are dropped before the shuffle."""
-    asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("ts")).select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term"))
-    hits = words.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(text_col))).alias("average"))
+def asked(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of rows (query_id, text); a word repeated in a query counts again."""
+    return queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def entries(docs: DataFrame, wanted: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, term, len, tf): an inverted index in one pass over the texts. Each document has one more row, without a term, so that lengths and
+    the number of documents come from the index alone. ``wanted`` (term): only these terms, dropped before anything is shuffled."""
+    words = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("ts"))
+    flat = words.select("doc_id", F.size("ts").alias("len"), F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("term"))
+    if wanted is not None:
+        mark = wanted.select("term", F.lit(True).alias("hit"))
+        flat = flat.join(mark, "term", "left").filter("hit or term is null")
+    return flat.groupBy("doc_id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def store(index: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Writes :func:`entries` sorted by term, so that a search reads only row groups that may hold its terms."""
+    order = index.repartitionByRange(*([buckets] if buckets else []), F.coalesce("term", F.lit("")), "doc_id").sortWithinPartitions("term", "doc_id")
+    order.write.mode("overwrite").parquet(path)
+
+
+def search(index: DataFrame, queries: DataFrame, top_k: int | None = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, rank) for rows (query_id, text) over :func:`entries`, stored or not. Ties go by doc_id."""
+    terms = asked(queries)
+    hits = index.filter("term is not null").join(terms.select("term").distinct(), "term", "left_semi")
+    size = index.filter("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).alias("average"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", (F.col("qtf") * idf("df", "n")).alias("w"), "average")
+    weighed = terms.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", (F.col("qtf") * idf("df", "n")).alias("w"), "average")
     scored = hits.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * tf_part("tf", "len", "average", k1, b)).alias("score"))
     return ranked(scored, top_k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, top_k: int | None = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """As :func:`search` where no index is stored: the queries' terms are indexed in one pass over the texts and written out."""
+    index = cut_lineage(entries(docs, asked(queries).select("term").distinct(), id_col, text_col))
+    return search(index, queries, top_k, k1, b)
+
+
 def ranked(scored: DataFrame, top_k: int | None, score: str = "score", id_col: str = "doc_id", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Rank from 1 within ``by``, best first; the first ``top_k`` where given. Scores equal to nine decimals tie and go by id, as sums in another order may differ beyond."""
     out = scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(F.round(score, 9)), id_col)))

@@ -9,8 +9,10 @@ from pyspark.sql.window import Window as W
 
 from granary.functions import numeric as n
 from granary.functions import text as t
+from granary.operators import lexical
 from granary.operators.lexical import ranked
 from granary.operators.vectors import blocks, products
+from granary.runtime import cut_lineage
 
 
 def where(df: DataFrame, filters: dict[str, object] | None = None, contains: str | None = None, text_col: str = "text") -> DataFrame:
@@ -93,23 +95,36 @@ def fuse(scores: DataFrame, method: str = "weighted_sum", vector_weight: float =
 
 def boost(results: DataFrame, metadata: DataFrame, field: str, boosts: dict[str, float], id_col: str = "id", score: str = "fused_score") -> DataFrame:
     """Scores times the boost of the row's metadata value (1 without one), ranked anew."""
-    factor = F.coalesce(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])[F.col("__field")], F.lit(1.0)) if boosts else F.lit(1.0)
-    meta = metadata.select(F.col(id_col), F.col(field).alias("__field"))
-    out = results.drop("rank").join(meta, id_col, "left").withColumn(score, F.col(score) * factor).drop("__field")
+    name = "__field"
+    while name in results.columns:
+        name += "_"
+    factor = F.coalesce(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])[F.col(name)], F.lit(1.0)) if boosts else F.lit(1.0)
+    meta = metadata.select(F.col(id_col), F.col(field).alias(name))
+    out = results.drop("rank").join(meta, id_col, "left").withColumn(score, F.col(score) * factor).drop(name)
     return ranked(out, None, score, id_col)
 
 
-def hybrid(corpus: DataFrame, queries: DataFrame, top_k: int = 10, bm25_weights: bool = True, use_classifier: bool = True) -> DataFrame:
+def hybrid(corpus: DataFrame, queries: DataFrame, top_k: int = 10, bm25_weights: bool = True, use_classifier: bool = True, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, query_type, vector_score, lexical_score, combined_score, rank).
 
-    ``corpus`` (doc_id, text, embedding) and ``queries`` (query_id, text, qvec). The 2k nearest of each query are scored lexically
-    and weighed by its type; a document that isn't among them can't enter. Texts are joined only for
-    those candidates."""
+    ``corpus`` (doc_id, text, embedding) and ``queries`` (query_id, text, qvec); ``texts`` (doc_id, text) where they lie apart from the vectors. The 2k nearest of
+    each query are scored lexically and weighed by its type; a document that isn't among them can't enter. Lexical scores come from an
+    index of the queries' terms, so texts are read once and never joined."""
     near = knn(corpus, queries, 2 * top_k, "doc_id").select("query_id", F.col("id").alias("doc_id"), F.col("score").alias("vector_score"))
-    typed = queries.select("query_id", F.col("text").alias("q"), (t.query_type("text") if use_classifier else F.lit("general")).alias("query_type"))
-    rows = near.join(typed, "query_id").join(corpus.select("doc_id", "text"), "doc_id")
-    lexical = n.lexical_clamp(t.bm25_without_idf("q", "text")) if bm25_weights else t.lexical_overlap("q", "text", 1e-6)
-    scored = rows.withColumn("lexical_score", lexical).withColumn("w", t.query_weights("query_type"))
+    typed = queries.select("query_id", (t.query_type("text") if use_classifier else F.lit("general")).alias("query_type"))
+    terms = lexical.asked(queries)
+    hits = lexical.entries(corpus if texts is None else texts, terms.select("term").distinct()).filter("term is not null")
+    near = cut_lineage(near)
+    met = near.join(terms, "query_id").join(hits, ["doc_id", "term"])
+    if bm25_weights:
+        part = F.sum(F.col("qtf") * n.tf_part("tf", "len", F.lit(500.0), 1.5, 0.75))
+        score = n.lexical_clamp(F.coalesce("part", F.lit(0.0)))
+    else:
+        part = F.count(F.lit(1))
+        score = F.coalesce(F.col("part") / (F.col("size") + F.lit(1e-6)), F.lit(0.0))
+        typed = typed.join(terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("size")), "query_id", "left")
+    parts = met.groupBy("query_id", "doc_id").agg(part.alias("part"))
+    scored = near.join(parts, ["query_id", "doc_id"], "left").join(typed, "query_id").withColumn("lexical_score", score).withColumn("w", t.query_weights("query_type"))
     out = scored.withColumn("combined_score", n.weighted("vector_score", "lexical_score", "w.vector_weight", "w.lexical_weight"))
     return ranked(out.select("query_id", "doc_id", "query_type", "vector_score", "lexical_score", "combined_score"), top_k, "combined_score")
 

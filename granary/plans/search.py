@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from granary.functions import numeric as n
 from granary.functions import text as t
-from granary.operators import context, corpus, drift, evaluate, lexical, retrieval, service
+from granary.operators import context, corpus, drift, embedding, evaluate, lexical, retrieval, service
 from granary.plans import sql
 from granary.plans.registry import query
-from granary.runtime import table
+from granary.runtime import checkpoint_dir, cut_lineage, table
 
 WORDS = "the orantion of und the hehely system"
 
@@ -144,16 +146,58 @@ def semantic_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.near_vectors(vectors(spark, sf_dir))
 
 
-@query(f"""WITH {sql.knn(sql.ITEM_VECTORS, 20, 'SELECT doc_id AS id, embedding AS v FROM documents JOIN embeddings ON vec_id = doc_id')},
-k AS (SELECT nn.query_id, d.doc_id, nn.score AS vector_score, {sql.query_type('q.text')} AS query_type, {sql.tokens('q.text')} AS qs, {sql.tokens('d.text')} AS ts
-  FROM nn JOIN documents d ON d.doc_id = nn.id JOIN benchmark q ON q.item_id = nn.query_id),
+def hashed_corpus(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """(doc_id, embedding) of every document by the hashing encoder, as counts: searches scale vectors themselves. Written out, as an index is."""
+    rows = embedding.embed(documents(spark, sf_dir), normalize=False, now="2025-01-01T00:00:00Z", keep=keep)
+    return cut_lineage(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "embedding", *keep))
+
+
+def hashed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item with its vector: (query_id, text, qvec)."""
+    rows = embedding.embed(items(spark, sf_dir), normalize=False, now="2025-01-01T00:00:00Z", id_col="query_id", keep=("text",))
+    return rows.select(F.col("doc_id").cast("bigint").alias("query_id"), "text", F.col("embedding").alias("qvec"))
+
+
+def _hybrid(queries: str, k: int = 10) -> str:
+    """CTEs up to hy(query_id, doc_id, query_type, vector_score, lexical_score, combined_score, rank); ``queries`` gives (query_id, text)."""
+    return f"""hq AS ({queries}), hw AS (SELECT 'd' AS side, doc_id AS id, unnest({sql.tokens(f"left({sql.collapse('text')}, 2048)")}) AS w FROM documents
+  UNION ALL SELECT 'q', query_id, unnest({sql.tokens(f"left({sql.collapse('text')}, 2048)")}) FROM hq),
+hh AS (SELECT side, id, ('0x' || left(md5(w), 15))::BIGINT AS h FROM hw),
+hv AS (SELECT side, id, h % 384 AS at, sum(1 - 2 * (h // 384 % 2))::DOUBLE AS x FROM hh GROUP BY ALL),
+hn AS (SELECT side, id, sqrt(sum(x * x)) AS n FROM hv GROUP BY ALL HAVING sum(x * x) > 0),
+dots AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.x * d.x) AS dot FROM hv q JOIN hv d ON q.at = d.at AND q.side = 'q' AND d.side = 'd' GROUP BY ALL),
+pairs AS (SELECT q.query_id, d.doc_id FROM hq q CROSS JOIN documents d),
+sim AS (SELECT p.query_id, p.doc_id, (1 + coalesce(dot / (a.n * b.n), 0)) / 2 AS vector_score FROM pairs p LEFT JOIN dots USING (query_id, doc_id) LEFT JOIN hn a ON a.side = 'q' AND a.id = p.query_id LEFT JOIN hn b ON b.side = 'd' AND b.id = p.doc_id),
+nn AS (SELECT query_id, doc_id, vector_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score, 9) DESC, doc_id) AS r FROM sim) WHERE r <= {2 * k}),
+k AS (SELECT nn.query_id, d.doc_id, vector_score, {sql.query_type('q.text')} AS query_type, {sql.tokens('q.text')} AS qs, {sql.tokens('d.text')} AS ts
+  FROM nn JOIN documents d USING (doc_id) JOIN hq q USING (query_id)),
 x AS (SELECT query_id, doc_id, query_type, vector_score, least(list_sum(list_transform(qs, lambda w: CASE WHEN len(list_filter(ts, lambda y: y = w)) = 0 THEN 0::DOUBLE ELSE
  len(list_filter(ts, lambda y: y = w)) * 2.5::DOUBLE / (len(list_filter(ts, lambda y: y = w)) + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(ts) / 500)) END)) / 5, 1) AS lexical_score FROM k),
-y AS (SELECT *, vector_score * {sql.weight('query_type', 0)} + lexical_score * {sql.weight('query_type', 1)} AS combined_score FROM x)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(combined_score, 9) DESC, doc_id) AS rank FROM y) WHERE rank <= 10""")
+y AS (SELECT *, vector_score * {sql.weight('query_type', 0)} + lexical_score * {sql.weight('query_type', 1)} AS combined_score FROM x),
+hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(combined_score, 9) DESC, doc_id) AS rank FROM y) WHERE rank <= {k})"""
+
+
+@query(f"WITH {_hybrid(sql.BENCHMARK)} SELECT * FROM hy")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = documents(spark, sf_dir).select("doc_id", "text").join(vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return retrieval.hybrid(both, item_vectors(spark, sf_dir), 10)
+    """Every item over all documents, both with computed vectors."""
+    return retrieval.hybrid(hashed_corpus(spark, sf_dir), hashed_items(spark, sf_dir), 10, texts=documents(spark, sf_dir))
+
+
+@query(f"""WITH hy0 AS (SELECT item_id AS query_id, text, list_filter({sql.words('text')}, lambda w: lower(w) NOT IN ({', '.join(f"'{w}'" for w in t.FILLERS)})) AS kept FROM benchmark),
+{_hybrid("SELECT query_id, CASE WHEN len(kept) < 2 THEN text ELSE array_to_string(kept, ' ') END AS text FROM hy0", 5)} SELECT query_id, doc_id, query_type, combined_score, rank FROM hy""")
+def hybrid_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval with expansion, end to end: filler words go before the query is embedded and scored."""
+    queries = embedding.embed(retrieval.expanded(items(spark, sf_dir)), normalize=False, now="2025-01-01T00:00:00Z", id_col="query_id", keep=("text",))
+    ready = queries.select(F.col("doc_id").cast("bigint").alias("query_id"), "text", F.col("embedding").alias("qvec"))
+    return retrieval.hybrid(hashed_corpus(spark, sf_dir), ready, 5, texts=documents(spark, sf_dir)).select("query_id", "doc_id", "query_type", "combined_score", "rank")
+
+
+@query(f"WITH {sql.bm25(sql.BENCHMARK, 10)} SELECT * FROM bm")
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written once, sorted by term, then searched: no text is read by the search."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    lexical.store(lexical.entries(documents(spark, sf_dir)), path)
+    return lexical.search(spark.read.parquet(path), items(spark, sf_dir), 10)
 
 
 # --- fusion
@@ -287,9 +331,8 @@ def adaptive_chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item with a vector answered end to end, the first source standing in for a model."""
-    both = documents(spark, sf_dir).select("doc_id", "text", "source").join(vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return service.answer(both, item_vectors(spark, sf_dir), service.first_source, title_col="source")
+    """Every item answered end to end from all documents, the first source standing in for a model."""
+    return service.answer(hashed_corpus(spark, sf_dir, "text", "source"), hashed_items(spark, sf_dir), service.first_source, title_col="source")
 
 
 # --- evaluation

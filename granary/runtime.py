@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,9 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per SparkContext, by way of the shared folder."""
+    """Send this package to the executors' Python workers, once per SparkContext, by way of the shared folder.
+
+    Batches of texts are held to 8 MB, unless the session has a bound of its own: on both sides of the pipe a worker holds several at once."""
     sc = spark.sparkContext
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, "8m")
     if getattr(sc, "_granary_shipped", False):
         return
     packed = io.BytesIO()
@@ -32,14 +42,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one, deleted at exit, only where that is unset and all tasks run in this process."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = getattr(sc, "_granary_checkpoint", None)
         if shared is None:
-            shared = "file://" + tempfile.mkdtemp(prefix="granary-checkpoint-")
-            sc._granary_checkpoint = shared
+            folder = tempfile.mkdtemp(prefix="granary-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            shared = sc._granary_checkpoint = "file://" + folder
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared)
     return shared
@@ -51,6 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, wherever it lies."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
