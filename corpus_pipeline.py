@@ -10,28 +10,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import exact_dedup, neardup, packing, quality, toxicity
-from granary.runtime import checkpoint_dir, table
+from granary.llm import exact_dedup, neardup, packing, quality, tokencount, toxicity
+from granary.runtime import checkpoint_dir, forget, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar, with stems learned from labels, rejects go. A null text is clean; each repeated row is judged by itself."""
     return toxicity.reject(docs, stems=toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents beyond the limits of their language and source go. A null or empty text stays; null languages and sources are groups."""
     return quality.accept(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the least doc_id stays, null ids last; null texts equal each other. Of rows equal in both one stays."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents the one with the least doc_id stays. Rows without a doc_id or a word stay."""
     return neardup.deduplicate(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    """Items of bins of 2,048 tokens. A text without a token gives none; repeated rows are items of their own."""
+    return packing.packed(docs, count=tokencount.count)
 
 
 STAGES = [
@@ -47,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn over the whole of documents, by way of the shared folder."""
+    """Every stage in turn over the whole of documents, by way of the shared folder, from which each stage's output goes once the next one's is written."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            forget(spark, before)
+        before = f"{base}/{name}"
     return docs
