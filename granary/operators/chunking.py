@@ -24,6 +24,28 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+class BytePairs:
+    """Counts tokens of a byte-pair vocabulary, read from a rank file when first used in a process."""
+
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    loaded: dict[tuple[str, str], object] = {}
+
+    def __init__(self, path: str, pattern: str = PATTERN) -> None:
+        self.key = path, pattern
+
+    def __call__(self, text: str) -> int:
+        engine = BytePairs.loaded.get(self.key)
+        if engine is None:
+            import base64
+
+            import tiktoken
+
+            with open(self.key[0], "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            engine = BytePairs.loaded[self.key] = tiktoken.Encoding("own", pat_str=self.key[1], mergeable_ranks=ranks, special_tokens={})
+        return len(engine.encode_ordinary(text))
+
+
 def paragraphs(text: str) -> list[tuple[str, str | None, str | None]]:
     """(text, title, section). Headings set the title, a leading number the section, and both hold on until the next."""
     out, title, section = [], None, None

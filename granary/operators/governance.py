@@ -150,11 +150,18 @@ def replay_breakers(events: DataFrame, limits: dict[str, tuple[int, float, int]]
     """(service, ts, ok, allowed, state) of calls (service, ts, ok) in order of time; services without limits have the llm's."""
     ship(events.sparkSession)
     known = limits or BREAKERS
+    schema = "service string, ts timestamp, ok boolean, allowed boolean, state string"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "ok"], kind="stable")
-        b = Breaker(*known.get(rows["service"].iloc[0], BREAKERS["llm"]))
-        out = [(b.call(t.timestamp(), bool(ok)), b.state) for t, ok in zip(rows["ts"], rows["ok"], strict=True)]
-        return rows.assign(allowed=[a for a, _ in out], state=[s for _, s in out])
-
-    return events.select("service", F.col("ts").cast("timestamp"), "ok").groupBy("service").applyInPandas(run, "service string, ts timestamp, ok boolean, allowed boolean, state string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Calls come sorted by service and time, so a task holds one breaker and one batch, however long a service's history is."""
+        name, b = None, None
+        for rows in batches:
+            out = []
+            for service, ts, ok in zip(rows["service"], rows["ts"], rows["ok"], strict=True):
+                if b is None or service != name:
+                    name, b = service, Breaker(*known.get(service, BREAKERS["llm"]))
+                out.append((b.call(ts.timestamp(), bool(ok)), b.state))
+            yield rows.assign(allowed=[a for a, _ in out], state=[s for _, s in out])
+
+    ordered = events.select("service", F.col("ts").cast("timestamp"), "ok").repartition("service").sortWithinPartitions("service", "ts", "ok")
+    return ordered.mapInPandas(run, schema)

@@ -186,6 +186,29 @@ def spans(docs: DataFrame, patterns: dict[str, list[str]] | None = None, around:
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.transform(mentions(text_col, patterns), place)).alias("e")).select("doc_id", "e.*")
 
 
+#: Letters from rare to common; characters that aren't among them come first.
+RARE = "qxzjkvbpygfwmucldrhsnioate "
+
+
+def alike(mentions_: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(entity, type, id): pairs of a type that may have a Jaccard similarity of characters over the threshold, and no pair that has is left out.
+
+    Sets so alike share one of their first n - ceil(threshold * n) + 1 characters in a fixed order, and their sizes differ by no more than the
+    threshold's factor; with the rarest characters first, few meet under a (type, size, character)."""
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        order = F.array_sort(F.transform(t.characters(F.lower(name)), lambda c: F.struct(F.call_function("locate", c, F.lit(RARE)).alias("r"), c.alias("c"))))
+        rows = df.withColumn("__set", order).withColumn("__n", F.size("__set"))
+        lead = F.col("__n") - F.ceil(F.col("__n") * F.lit(threshold) - 1e-9).cast("int") + 1
+        return rows.withColumn("__lead", F.explode(F.transform(F.slice("__set", F.lit(1), lead), lambda x: x["c"])))
+
+    a = keyed(mentions_.select("entity", "type"), "entity").filter("__n > 0")
+    low, high = F.ceil(F.col("__n") * F.lit(threshold) - 1e-9).cast("int"), F.floor(F.col("__n") / F.lit(threshold) + 1e-9).cast("int")
+    wide = a.select("entity", "type", "__lead", F.explode(F.sequence(low, high)).alias("__n"))
+    b = keyed(known.select("id", "type", "name"), "name").select("id", "type", "__lead", "__n")
+    return wide.join(b, ["type", "__lead", "__n"]).select("entity", "type", "id").distinct()
+
+
 def link(found: DataFrame, entities: DataFrame, aliases: DataFrame | None = None, threshold: float = 0.8, create: bool = True) -> DataFrame:
     """(entity, type, entity_id, how): by alias, else by the most similar name of the type over the threshold, else a new id (or null).
     An id is made once for each distinct mention."""
@@ -193,7 +216,7 @@ def link(found: DataFrame, entities: DataFrame, aliases: DataFrame | None = None
     known = entities.select(F.col("id"), F.col("type"), F.col("name"))
     aliased = distinct.select("entity", "type", F.lit(None).cast("string").alias("alias_id")) if aliases is None else distinct.join(aliases.select(F.lower("alias").alias("entity"), F.col("entity_id").alias("alias_id")).dropDuplicates(["entity"]), "entity", "left")
     score = t.character_jaccard(F.lower("entity"), F.lower("name"))
-    fuzzy = distinct.join(known, "type").withColumn("s", score).filter(F.col("s") > threshold)
+    fuzzy = distinct.join(alike(distinct, known, threshold), ["entity", "type"]).join(known, ["id", "type"]).withColumn("s", score).filter(F.col("s") > threshold)
     best = fuzzy.withColumn("r", F.row_number().over(W.partitionBy("entity", "type").orderBy(F.desc("s"), "id"))).filter("r = 1").select("entity", "type", F.col("id").alias("fuzzy_id"))
     made = F.concat(F.lower("type"), F.lit("_"), F.replace(F.lower("entity"), F.lit(" "), F.lit("_"))) if create else F.lit(None).cast("string")
     out = aliased.join(best, ["entity", "type"], "left")

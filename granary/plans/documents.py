@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,7 +12,7 @@ from granary.functions import text as t
 from granary.operators import chunking, corpus, embedding, governance, graph, verify
 from granary.plans import sql
 from granary.plans.registry import query
-from granary.runtime import table
+from granary.runtime import checkpoint_dir, table
 from granary.sources import files
 
 
@@ -71,9 +73,15 @@ def html_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_html(table(spark, sf_dir, "pages"), "page_id")
 
 
-@query()
+HASHED = f"""hw AS (SELECT doc_id, md5(unnest({sql.tokens(f"left({sql.collapse('text')}, 2048)")})) AS m FROM documents), hh AS (SELECT doc_id, ('0x' || left(m, 15))::BIGINT AS h FROM hw),
+hv AS (SELECT doc_id, (h % 384)::INTEGER AS place, sum(1 - 2 * (h // 384 % 2))::DOUBLE AS x FROM hh GROUP BY ALL), hn AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM hv GROUP BY ALL)"""
+
+
+@query(f"WITH {HASHED} SELECT doc_id::VARCHAR AS doc_id, place, (x / (n + 1e-10::DOUBLE))::FLOAT::DOUBLE AS x, 'hashing' AS model, left(md5('hashing:True:1'), 8) AS preprocessing_hash FROM hv JOIN hn USING (doc_id) WHERE x <> 0")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.embed(documents(spark, sf_dir), now="2025-01-01T00:00:00Z")
+    """Every document's vector, by its components that aren't 0."""
+    rows = embedding.embed(documents(spark, sf_dir), now="2025-01-01T00:00:00Z")
+    return rows.select("doc_id", F.posexplode("embedding").alias("place", "x"), "model", "preprocessing_hash").filter("x <> 0").withColumn("x", F.col("x").cast("double"))
 
 
 @query(f"SELECT doc_id, left({sql.collapse('text')}, 2048) AS ready, left(md5('hashing:True:1'), 8) AS preprocessing_hash, 'docs_a_b_2025_01_01' AS index_name FROM documents")
@@ -94,8 +102,11 @@ def sentence_split_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(t.plain_sentences("text")).alias("n_sentences"))
 
 
-@query(rf"""WITH g AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])({t.any_of(t.ABBREVIATIONS)})\.', '\1\2' || chr(2), 'gi'), '(\d)\.(\d)', '\1' || chr(2) || '\2', 'g') AS x FROM documents)
-SELECT doc_id, array_to_string(list_filter(list_transform({sql.plain_sentences('x')}, lambda s: {sql.strip("replace(s, chr(2), '.')")}), lambda s: s <> ''), '|') AS sentences FROM g""")
+SENTENCES = rf"""g AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])({t.any_of(t.ABBREVIATIONS)})\.', '\1\2' || chr(2), 'gi'), '(\d)\.(\d)', '\1' || chr(2) || '\2', 'g') AS x FROM documents),
+ss AS (SELECT doc_id, list_filter(list_transform({sql.plain_sentences('x')}, lambda s: {sql.strip("replace(s, chr(2), '.')")}), lambda s: s <> '') AS ss FROM g)"""
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, array_to_string(ss, '|') AS sentences FROM ss")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.array_join(t.sentences("text"), "|").alias("sentences"))
 
@@ -106,6 +117,17 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def semantic_chunks_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes in tokens of a byte-pair vocabulary instead of words."""
+    return chunking.chunk_documents(documents(spark, sf_dir), limit=500, overlap=50, count=chunking.BytePairs("/opt/tokenizers/byte_bpe_50k.tiktoken"))
+
+
+@query(f"""WITH RECURSIVE {SENTENCES}, one AS MATERIALIZED (SELECT doc_id, i, ss[i] AS s, len({sql.words('ss[i]')}) AS n, len(ss) AS m FROM ss, unnest(range(1, len(ss) + 1)) AS u(i)),
+f(doc_id, i, m, chunk, held, sizes, cut, done) AS (SELECT doc_id, 1::BIGINT, m, 0, [s], [n], -1, NULL::VARCHAR FROM one WHERE i = 1 UNION ALL
+  SELECT doc_id, o.i, o.m, CASE WHEN full_ THEN chunk + 1 ELSE chunk END, CASE WHEN full_ THEN [held[-1], o.s] ELSE list_append(held, o.s) END, CASE WHEN full_ THEN [sizes[-1], o.n] ELSE list_append(sizes, o.n) END,
+    CASE WHEN full_ THEN chunk ELSE -1 END, CASE WHEN full_ THEN array_to_string(held, ' ') END FROM (SELECT f.*, o, list_sum(f.sizes) + o.n > 200 AS full_ FROM f JOIN one o ON o.doc_id = f.doc_id AND o.i = f.i + 1)),
+c AS (SELECT doc_id, cut AS chunk_index, done AS text FROM f WHERE cut >= 0 UNION ALL SELECT doc_id, chunk, array_to_string(held, ' ') FROM f WHERE i = m)
+SELECT doc_id::VARCHAR AS doc_id, chunk_index, text, len({sql.words('text')})::INTEGER AS token_count FROM c""")
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sentence_chunks(documents(spark, sf_dir), limit=200, overlap=1)
 
@@ -138,9 +160,23 @@ def sentence_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", t.coherence("text").alias("coherence"))
 
 
-@query()
+def _coherence(x: str) -> str:
+    """CTE-free coherence of the sentence sets ``x``."""
+    pairs = f"list_filter(list_transform(range(1, greatest(len({x}), 1)), lambda i: CASE WHEN len({x}[i]) > 0 AND len({x}[i + 1]) > 0 THEN len(list_intersect({x}[i], {x}[i + 1])) / least(len({x}[i]), len({x}[i + 1]))::DOUBLE END), lambda y: y IS NOT NULL)"
+    return f"CASE WHEN len({x}) < 2 THEN 1.0::DOUBLE WHEN len({pairs}) = 0 THEN 0.5::DOUBLE ELSE list_avg({pairs}) END"
+
+
+@query(f"""WITH {WINDOWS}, st AS (SELECT count(*) AS total_chunks, avg(token_count) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens, stddev_pop(token_count) AS std_tokens,
+count(*) FILTER (token_count < 50) AS too_small, count(*) FILTER (token_count > 1500) AS too_large FROM chunks),
+p AS (SELECT list_distinct({sql.tokens('text')}[-50:]) AS a, lead(list_distinct({sql.tokens('text')}[:50])) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS b FROM chunks),
+o AS (SELECT CASE WHEN count(*) < 2 THEN 1.0::DOUBLE ELSE coalesce(avg(len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE) FILTER (len(a) > 0 AND len(b) > 0), 0) END AS overlap_quality FROM p),
+k AS (SELECT list_transform(list_filter(list_transform({sql.plain_sentences('text')}, lambda s: {sql.strip('s')}), lambda s: s <> ''), lambda s: list_distinct({sql.tokens('s')})) AS sets FROM chunks),
+h AS (SELECT avg({_coherence('sets')}) AS avg_coherence FROM k), al AS (SELECT * FROM st CROSS JOIN o CROSS JOIN h)
+SELECT *, coalesce(nullif(concat_ws('|', CASE WHEN too_small > total_chunks * 0.1 THEN too_small || ' of ' || total_chunks || ' chunks are below 50 tokens: lower the minimum' END,
+CASE WHEN too_large > total_chunks * 0.1 THEN too_large || ' of ' || total_chunks || ' chunks exceed 1500 tokens: lower the maximum' END, CASE WHEN std_tokens > 400 THEN 'sizes vary widely: make boundaries more even' END,
+CASE WHEN avg_coherence < 0.5 THEN 'low coherence: chunks may span subjects' END, CASE WHEN overlap_quality < 0.3 THEN 'little overlap: raise overlap_tokens' END), ''), 'chunk sizes and boundaries look good') AS recommendations FROM al""")
 def chunk_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.quality_report(token_windows(spark, sf_dir))
+    return chunking.quality_report(token_windows(spark, sf_dir)).withColumn("recommendations", F.array_join("recommendations", "|"))
 
 
 _PARAMS = {k: v for k, v in t.CHUNK_DEFAULTS.items() if k != "general"}
@@ -174,9 +210,11 @@ def extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", *[F.array_join(f("text"), "|").alias(n) for n, f in (("numbers", t.numbers), ("currencies", t.currencies), ("dates", t.dates))])
 
 
-@query()
+@query(r"""WITH m AS (SELECT doc_id, chr(1) || regexp_replace(coalesce(text, ''), '([^\p{L}\p{N}\p{M}_]+)', chr(1) || '\1' || chr(1), 'g') || chr(1) AS x FROM documents),
+n AS (SELECT doc_id, list_transform(regexp_extract_all(x, '\x01([A-Z][a-z]+(?:\x01\s+\x01[A-Z][a-z]+)*)\x01', 1), lambda w: replace(w, chr(1), '')) AS ns FROM m)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(ns, lambda w: lower(w) NOT IN ('the', 'this', 'that', 'these', 'those')))), '|') AS names FROM n""")
 def extract_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of capitalised words. SQL's word edges are ASCII only, so this is held against a brute-force version."""
+    """Runs of capitalised words. The SQL marks word edges itself, since its own are ASCII only."""
     return documents(spark, sf_dir).select("doc_id", F.array_join(t.names("text"), "|").alias("names"))
 
 
@@ -287,14 +325,25 @@ def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- entities
 
-@query()
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a sentence for every customer that names entities of each type."""
+    parts = ("The manager of customer ", "c_name", " signed agreement C-", "c_custkey", " in the EMEA region. The CEO of the company wants the software platform, and the Manager a deal in ", "c_mktsegment", ".")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(*[F.col(x).cast("string") if x.startswith("c_") else F.lit(x) for x in parts]).alias("text"))
+
+
+LETTERS = "SELECT c_custkey AS doc_id, 'The manager of customer ' || c_name || ' signed agreement C-' || c_custkey || ' in the EMEA region. The CEO of the company wants the software platform, and the Manager a deal in ' || c_mktsegment || '.' AS text FROM customer"
+MENTIONS = f"l AS ({LETTERS}), m AS ({' UNION '.join(f"SELECT DISTINCT doc_id, text, lower(unnest(regexp_extract_all(text, '(?i){chr(92)}b({'|'.join(ps)}){chr(92)}b', 1))) AS entity, '{k}' AS type FROM l" for k, ps in graph.ENTITIES.items())})"
+
+
+@query(f"WITH {MENTIONS} SELECT doc_id, entity, type FROM m")
 def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.extract(documents(spark, sf_dir))
+    return graph.extract(letters(spark, sf_dir))
 
 
-@query()
+@query(rf"""WITH {MENTIONS}, p AS (SELECT *, length(regexp_extract(lower(text), '^(.*?)\b' || entity || '\b', 1))::INTEGER AS start FROM m)
+SELECT doc_id, entity, type, start, (start + length(entity))::INTEGER AS "end", substr(text, greatest(start - 50, 0) + 1, start + length(entity) + 50 - greatest(start - 50, 0)) AS context FROM p""".replace("\\\\", "\\"))
 def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.spans(documents(spark, sf_dir))
+    return graph.spans(letters(spark, sf_dir))
 
 
 _COLOURS = {"Colour": ["red", "blue", "green", "small", "large"]}
@@ -321,3 +370,60 @@ def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = part.select(F.concat(F.lower("p_name"), F.lit("s")).alias("entity")).union(brands).withColumn("type", F.lit("Part"))
     aliases = brands.filter(F.col("entity").startswith("brand#1")).select(F.col("entity").alias("alias"), F.concat(F.lit("alias-"), "entity").alias("entity_id"))
     return graph.link(found, known, aliases)
+
+
+# --- files, metadata and the stored index
+
+@query(f"""WITH c AS (SELECT item_id, {sql.boilerplate(sql.ocr('text'))} AS x FROM benchmark), k AS (SELECT md5({sql.collapse('x')}) AS doc_id, item_id, x FROM c WHERE x <> '')
+SELECT doc_id, true AS success, 'acme' AS tenant_id, 'bench' AS kind, arg_min(len({sql.words('x')}), item_id)::VARCHAR AS word_count FROM k GROUP BY doc_id""")
+def files_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a file of its own: directory scan, size guard, parsing, cleaning, metadata and the first file of each content."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").select("text", F.format_string("%012d", "item_id").alias("item")).write.partitionBy("item").option("lineSep", "\n").text(base)
+    m = F.col("metadata")
+    found = files.ingest(spark, base, "acme", {"kind": "bench"}, now="2025-01-01T00:00:00Z")
+    return found.select("doc_id", "success", m["tenant_id"].alias("tenant_id"), m["kind"].alias("kind"), m["word_count"].alias("word_count"))
+
+
+@query("SELECT item_id, strlen(text) + 1 AS bytes, strlen(text) + 1 <= 400 AS fits FROM benchmark")
+def files_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size guard over listed files: those within the limit and those beyond it."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").select("text", F.format_string("%012d", "item_id").alias("item")).write.partitionBy("item").option("lineSep", "\n").text(base)
+    good, large = files.sized(files.scan(spark, [base]), 400)
+    both = good.select("path", "length", F.lit(True).alias("fits")).unionAll(large.select("path", "length", F.lit(False)))
+    return both.select(F.regexp_extract("path", r"item=(\d+)", 1).cast("bigint").alias("item_id"), F.col("length").alias("bytes"), "fits")
+
+
+@query("SELECT vec_id AS id, label::VARCHAR AS tenant_id, 'hashing' AS embedding_model, '1' AS embedding_version, (SELECT count(*) FROM embeddings) AS rows FROM embeddings WHERE vec_id IN (3, 77, 401)")
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector table written by tenant in two inserts, counted and looked up by ids."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("tenant_id"), "embedding")
+    for part in (rows.filter("tenant_id < '5'"), rows.filter("tenant_id >= '5'")):
+        corpus.add_to_index(part, path, model="hashing", version="1")
+    index = spark.read.schema("id bigint, tenant_id string, embedding_model string, embedding_version string").parquet(path)
+    return corpus.by_ids(index, [3, 77, 401]).crossJoin(F.broadcast(index.agg(F.count(F.lit(1)).alias("rows"))))
+
+
+@query("SELECT doc_id, 'bench' AS kind, 'fixed' AS lang, source FROM documents")
+def metadata_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
+    m = F.col("metadata")
+    return corpus.override_metadata(rows, {"lang": "fixed", "kind": "bench"}).select("doc_id", m["kind"].alias("kind"), m["lang"].alias("lang"), m["source"].alias("source"))
+
+
+@query(f"""WITH {ANSWERS}, m AS (SELECT conv_id, turn, {_NUMBERS} AS a, {sql.found('context', t.NUMBER)} AS c FROM ans)
+SELECT conv_id, turn, array_to_string(list_filter(a, lambda x: len(list_filter(c, lambda y: abs(replace(x, '%', '')::DOUBLE - replace(y, '%', '')::DOUBLE) <= 2)) = 0), '|') AS unsupported FROM m""")
+def number_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of an answer that no number of its context is within 2 of."""
+    return answers(spark, sf_dir).select("conv_id", "turn", F.array_join(verify.unsupported_numbers("answer", "context", 2.0), "|").alias("unsupported"))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN true ELSE false END AS valid, CASE turn % 3 WHEN 2 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS confidence,
+CASE turn % 3 WHEN 2 THEN 'the critic''s reply can''t be read' WHEN 1 THEN 'a' ELSE '' END AS issues FROM conversations""")
+def critic_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's replies read as verdicts: plain JSON, JSON within talk, and talk."""
+    reply = F.when(F.col("turn") % 3 == 0, '{"valid": true, "confidence": 0.25, "issues": []}').when(F.col("turn") % 3 == 1, 'Here: {"valid": false, "confidence": 0.25, "issues": ["a"]} as asked').otherwise("I think it is fine")
+    rows = turns(spark, sf_dir).select("conv_id", "turn", verify.critic_from_text(reply).alias("c"))
+    return rows.select("conv_id", "turn", "c.valid", "c.confidence", F.array_join("c.issues", "|").alias("issues"))

@@ -83,11 +83,22 @@ def graph_bfs_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(vertices(spark, sf_dir), edges(spark, sf_dir), _seeds(spark, sf_dir, "Region"), 2, "PART_OF")
 
 
+def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(start, end): every customer and its region."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.expr(_id("Customer", "c_custkey")).alias("start"), F.expr(_id("Region", "n_regionkey")).alias("end"))
+
+
+@query("SELECT a.r_name AS start_name, b.r_name AS end_name FROM region a JOIN region b ON a.r_name < b.r_name")
+def graph_seed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.seed_pairs(table(spark, sf_dir, "region").select(F.col("r_name").alias("seed"))).toDF("start_name", "end_name")
+
+
 @query("""SELECT concat('customer_', c_custkey) AS "start", concat('region_', n_regionkey) AS "end", concat('customer_', c_custkey, ' LIVES_IN nation_', n_nationkey, ' PART_OF region_', n_regionkey) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All paths of up to two edges from every customer to every region."""
+    """All paths of up to two edges from every customer to the region of its nation."""
     v = vertices(spark, sf_dir)
-    pairs = _seeds(spark, sf_dir, "Customer").withColumnRenamed("seed", "start").crossJoin(_seeds(spark, sf_dir, "Region").withColumnRenamed("seed", "end"))
+    pairs = _homes(spark, sf_dir)
     steps = F.array_join(F.transform("path", lambda s: F.concat_ws(" ", s["relation"], s["target"])), " ")
     return graph.paths(v, edges(spark, sf_dir), pairs, 2).select("start", "end", F.concat_ws(" ", "start", steps).alias("path"))
 
@@ -95,7 +106,7 @@ def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT concat('customer_', c_custkey) AS "start", concat('Customer "', c_name, '" → lives in Nation "', n_name, '" → part of Region "', r_name, '"') AS text FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def graph_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vertices(spark, sf_dir)
-    pairs = _seeds(spark, sf_dir, "Customer").withColumnRenamed("seed", "start").crossJoin(_seeds(spark, sf_dir, "Region").withColumnRenamed("seed", "end"))
+    pairs = _homes(spark, sf_dir)
     return graph.path_text(graph.paths(v, edges(spark, sf_dir), pairs, 2), v).select("start", "text")
 
 
@@ -164,7 +175,7 @@ def graph_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.concat(F.lit("region_"), F.replace(F.lower("name"), F.lit(" "), F.lit("_")))
     renamed = v.withColumn("id", F.when(F.col("type") == "Region", named).otherwise(F.col("id")))
     regions = v.filter("type = 'Region'").select(F.col("id").alias("target_id"), named.alias("__new"))
-    moved = e.join(F.broadcast(regions), "target_id", "left").select("source_id", F.coalesce("__new", "target_id").alias("target_id"), "type", "properties")
+    moved = e.join(regions, "target_id", "left").select("source_id", F.coalesce("__new", "target_id").alias("target_id"), "type", "properties")
     geo = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     asked = geo.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("What happened in "), "r_name", F.lit(" last year?")).alias("text"))
     return graph.graph_retrieve(asked, renamed, moved, 1, {"Region": ["africa", "america", "asia", "europe", r"middle east"]})

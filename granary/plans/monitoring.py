@@ -102,9 +102,18 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.col("event_type").alias("service"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") < 80).alias("ok"))
 
 
-@query()
+BREAKERS = """WITH RECURSIVE c AS MATERIALIZED (SELECT event_type AS service, ts, value < 80 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts, value < 80) AS i FROM events),
+b(service, i, ts, ok, allowed, state, fails, last, good) AS (SELECT service, 1::BIGINT, ts, ok, true, 'closed', CASE WHEN ok THEN 0 ELSE 1 END, ts, 0 FROM c WHERE i = 1 UNION ALL
+  SELECT service, i, ts, ok, lets, CASE WHEN NOT lets THEN 'open' WHEN ok AND now = 'half_open' AND g + 1 >= 2 THEN 'closed' WHEN NOT ok AND (now = 'half_open' OR fails + 1 >= 3) THEN 'open' ELSE now END,
+    CASE WHEN NOT lets THEN fails WHEN ok THEN 0 ELSE fails + 1 END, CASE WHEN lets AND NOT ok THEN ts ELSE last END, CASE WHEN lets AND ok AND now = 'half_open' THEN g + 1 ELSE g END
+  FROM (SELECT c.service, c.i, c.ts, c.ok, b.fails, b.last, b.state <> 'open' OR epoch_us(c.ts) - epoch_us(b.last) >= 30000000 AS lets,
+    CASE WHEN b.state = 'open' THEN 'half_open' ELSE b.state END AS now, CASE WHEN b.state = 'open' THEN 0 ELSE b.good END AS g FROM b JOIN c ON c.service = b.service AND c.i = b.i + 1))
+SELECT service, ts, ok, allowed, state FROM b"""
+
+
+@query(BREAKERS)
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.replay_breakers(calls(spark, sf_dir))
+    return _naive(governance.replay_breakers(calls(spark, sf_dir)), "ts")
 
 
 @query("""SELECT concat('{"event":"query","timestamp":"', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '","user_id":', user_id, ',"event_type":"', event_type, '"}') AS value FROM events""")
@@ -150,11 +159,11 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(streams.counters(streams.read(spark, sf_dir)), "complete")
 
 
-@query()
+@query(BREAKERS)
 def stream_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = streams.read(spark, sf_dir).select(F.col("event_type").alias("service"), "ts", (F.col("value") < 80).alias("ok"))
-    return streams.drain(streams.breakers(rows), "append")
+    return _naive(streams.drain(streams.breakers(rows), "append"), "ts")
 
 
-def _naive(df: DataFrame) -> DataFrame:
-    return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+def _naive(df: DataFrame, name: str = "start") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("timestamp_ntz"))

@@ -324,3 +324,58 @@ def test_nothing_found_gets_the_fallback(spark):
     assert (r["answer"], r["confidence"], r["sources"]) == ("Not found in context", "low", None)
     (r,) = service.answer(index, asked, lambda p: F.lit("It is 99 euros"), rerank=False).collect()
     assert (r["status"], r["confidence"]) == ("invalid", "low")
+
+
+def test_pairs_of_alike_names_are_not_missed(spark):
+    """Blocking by the first rare characters finds every pair over the threshold."""
+    import random
+
+    from granary.operators import graph
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdeqxz 1#") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    near = [n + rng.choice("abq") for n in names] + names[:20]
+    found = spark.createDataFrame([(n, "T") for n in set(near)], "entity string, type string")
+    known = spark.createDataFrame([(f"{i:03d}", "T", n) for i, n in enumerate(names)], "id string, type string, name string")
+    want = {(e, f"{i:03d}") for e in set(near) for i, n in enumerate(names) if len(set(e) & set(n)) / len(set(e) | set(n)) > 0.8}
+    got = {(r.entity, r.id) for r in graph.alike(found, known, 0.8).collect()}
+    assert want <= got and len(got) < len(set(near)) * len(names)
+
+
+def test_a_stored_index_is_searched_as_texts_are(spark, tmp_path):
+    from granary.operators import lexical
+
+    docs = spark.createDataFrame([(1, "red red blue"), (2, "blue"), (3, "green"), (4, ""), (5, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "red blue"), (2, "green green"), (3, ""), (4, "none")], "query_id int, text string")
+    lexical.store(lexical.entries(docs), f"{tmp_path}/index")
+    stored = lexical.search(spark.read.parquet(f"{tmp_path}/index"), asked)
+    rows = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert rows(stored) == rows(lexical.bm25(docs, asked)) and len(rows(stored)) == 3
+    assert lexical.bm25(docs.filter("false"), asked).count() == 0
+
+
+def test_breakers_go_on_over_batches(spark):
+    from granary.operators import governance
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        calls = spark.createDataFrame([(s, float(i), i % 4 == 0) for s in ("a", "llm") for i in range(40)], "service string, at double, ok boolean").selectExpr("service", "timestamp_seconds(at) as ts", "ok")
+        got = [(r.service, r.allowed, r.state) for r in governance.replay_breakers(calls).orderBy("service", "ts").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for s in ("a", "llm"):
+        b = governance.Breaker(*governance.BREAKERS["llm"])
+        want += [(s, b.call(float(i), i % 4 == 0), b.state) for i in range(40)]
+    assert got == want
+
+
+def test_no_local_checkpoint_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from granary import runtime
+
+    sc = SimpleNamespace(master="spark://somewhere:7077", getConf=lambda: {})
+    fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.checkpoint_dir(fake)
