@@ -31,6 +31,7 @@ from pyspark.sql.window import Window as W
 
 from granary.llm import kernel
 from granary.llm.common import extended, fresh, map_batches, sized
+from granary.runtime import cut_lineage
 
 MEASURES = ("symbols", "capitals", "repeats", "length")
 
@@ -113,7 +114,8 @@ def grid(value: Column) -> Column:
 def limits(rows: DataFrame, rules: Rules) -> DataFrame:
     """(lang, source, high_0..high_3, low) from rows of (lang, source, words, m0..m3)."""
     tall = rows.filter("words > 0").select("lang", "source", F.posexplode(F.array(*[grid(F.col(f"m{i}")) for i in range(4)])).alias("m", "at"))
-    sketch = tall.groupBy("lang", "source", "m", "at").agg(F.count(F.lit(1)).alias("n"))
+    # Written once: it is read four times below, and each reading would go through all texts.
+    sketch = cut_lineage(tall.groupBy("lang", "source", "m", "at").agg(F.count(F.lit(1)).alias("n")))
     by_lang = sketch.groupBy("lang", "m", "at").agg(F.sum("n").alias("n"))
     size = by_lang.filter("m = 0").groupBy("lang").agg(F.sum("n").alias("size"))
     groups = sketch.filter("m = 0").select("lang", "source").distinct()
