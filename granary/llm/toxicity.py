@@ -1,25 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols of a small alphabet. Four transducers rewrite and score them:
+Words become symbols of a small alphabet. Five transducers rewrite and score them:
 
 - negation marks the insults and threats within a few words after a negator, n't with any apostrophe included;
 - reported speech marks those after a reporting verb in the same clause;
+- threat looks for a verb of violence with its target: grave verbs with the target after them; verbs that have harmless senses too only after a
+  modal, and not if the target is followed by what makes it another sense (beat you at chess, shoot them a message); verbs that come after
+  their target, as in German, French and Spanish, only after a modal. A modal adds to a threat;
 - target pairs an insult with a second person or group word near it on either side;
-- scoring turns insults and threats, as marked, into weights. A threat counts only if it has
-  a target; a modal before it adds to it.
+- scoring turns insults, as marked, into weights.
 
 They are composed into one weighted transducer, whose states are built as they are
 reached. A clause's score is the weight of its path; a document's score is the sum over its clauses.
-A fifth transducer tells which clauses count by themselves: those with an insult near a target, with two insults (two mild
-ones must be next to each other) or with a threat near its target. The others hold isolated words, of which one
+A last transducer tells which clauses count by themselves: those with an insult near a target, with two insults (two mild
+ones must be next to each other) or with a threat. The others hold isolated words, of which one
 decides nothing: they count only if two clauses or more hold insults, not all of them mild, and
 such clauses are ``SCATTERED`` by word, as labelled documents have insults strewn over their clauses.
 A document is toxic if a clause that counts by itself reaches ``clause_limit``, or if the sum over those that
 count reaches ``score_limit`` and, by word, ``density_limit``.
 
 The lexicon of insults is widened by stems that are learned from labelled documents: word beginnings that are
-far more frequent in toxic ones than in others. They are read as a weak insult.
-At most ``Learning.rows`` labelled documents of each class are used; documents that share their least word hash,
+far more frequent in toxic ones than in others and come back within a document. They are read as a weak insult, which needs a second one in its clause,
+a target or many such clauses to count.
+At most ``Learning.rows`` labelled documents of each class are used; documents that share their four least word hashes,
 as copies do, count once.
 
 Only words of the lexicon are looked at one by one, and only in clauses that hold an insult
@@ -27,7 +30,7 @@ or a threat; all others are passed over by vectorised hash lookups.
 
 Defined results: a null or empty text has score 0 and isn't toxic; every row gives one
 row, repeated rows and null doc_ids too; an empty table gives an empty table. Letter case doesn't count.
-Labels without a doc_id or a class are ignored; of several for a document the toxic one counts. Without labels of both classes nothing is learned.
+A language whose toxic documents are fewer than ``support`` or ``share`` of all used learns no stems. Labels without a doc_id or a class are ignored; of several for a document the toxic one counts. Without labels of both classes nothing is learned.
 """
 
 from __future__ import annotations
@@ -49,15 +52,23 @@ LEXICON = {
     "arschloch schwachkopf abschaum wichser missgeburt connard connasse salaud ordure gilipollas cabrón imbécil escoria débile enculé",
     "i": "stupid clown clowns loser losers pathetic trash garbage dumb ugly fool fools creep jerk pig pigs coward cowards liar "
     "trottel versager widerlich erbärmlich minable pitoyable dégoûtant dégueulasse estúpido estúpida patético basura asqueroso perdedor",
-    "H": "kill murder hurt destroy stab shoot beat burn strangle hang töten umbringen erschießen tuer frapper poignarder matar matarte golpear",
-    "M": "will gonna going shall should must want wollen werde sollte vais vas doit voy vamos debe",
-    "T": "you your youre yours yourself u ya du dich dir euch tu toi vous ti usted ustedes vosotros",
+    # verbs of violence: grave ones; those with harmless senses; those that follow their object; those that hold it
+    "H": "kill murder strangle stab slaughter",
+    "h": "hurt destroy shoot beat burn hang hit",
+    "V": "töten umbringen erschießen erwürgen verprügeln tuer frapper poignarder étrangler égorger matar golpear apuñalar",
+    "X": "matarte mataros matarlos matarlas golpearte apuñalarte",
+    "M": "will gonna going shall should must want wollen will werde werden sollte vais vas va allons vont doit veux voy vamos van quiero debe",
+    "T": "you your youre yours yourself u ya du bist dich dir euch seid tu toi te vous êtes ti usted ustedes vosotros eres",
     "G": "they them these those people immigrants women men jews muslims christians blacks whites",
+    # what may follow the object of a verb in a harmless sense
+    "D": "a an the some at in on to for with by",
     "N": "not never no nobody isnt arent wasnt dont doesnt didnt without hardly nicht kein keine niemals jamais aucun nunca ningún",
     "R": "said says say told called calls wrote writes claimed claims according quoted quote quotes reported reports alleged allegedly tweeted shouted insisted sagte behauptete dit disait dijo afirmó",
 }
-CORE = "IiHl"  # l: a learned stem
-STRENGTH = {"I": 1.0, "i": 0.7, "H": 0.8, "l": 0.3}
+CORE = "IiHhVXl"  # l: a learned stem
+STRENGTH = {"I": 1.0, "i": 0.7, "l": 0.3}
+THREAT, MODAL = 0.8, 0.8
+END = "$"  # of a clause
 
 
 @dataclass(frozen=True)
@@ -106,54 +117,75 @@ class Target(Transducer):
 
     def step(self, state: tuple[int, int], symbol: str) -> tuple[tuple[int, int], str, float]:
         target, open_ = max(0, state[0] - 1), max(0, state[1] - 1)
-        if symbol in ("T", "G"):
-            return (self.reach, 0), symbol, self.bonus * (open_ > 0) * (1.0 if symbol == "T" else 0.6)
+        if symbol[0] in "TG":
+            return (self.reach, 0), symbol, self.bonus * (open_ > 0) * (1.0 if symbol[0] == "T" else 0.6)
         if symbol in ("I", "i"):
             return ((target, 0), symbol, self.bonus) if target else ((target, self.reach), symbol, 0.0)
         return (target, open_), symbol, 0.0
 
 
-class Scoring(Transducer):
-    """State: how near the last modal is, and of a threat that still lacks its target the words left and its weight."""
+def mark(symbol: str) -> float:
+    """What negation and reported speech leave of a weight."""
+    return (0.1 if "-" in symbol else 1.0) * (0.3 if "~" in symbol else 1.0)
 
-    reach = 3
-    start = (0, 0, 0.0)
 
-    def step(self, state: tuple[int, int, float], symbol: str) -> tuple[tuple[int, int, float], str, float]:
-        modal, open_, worth = max(0, state[0] - 1), max(0, state[1] - 1), state[2]
+class Threat(Transducer):
+    """Gives weight and a '!' to the symbol at which a threat is complete (no '!' to a negated one).
+    State: how near the last modal and target are; of a verb that lacks its target the words left, its weight and symbol; a weight that the next symbol may still undo, and its symbol."""
+
+    reach = 3
+    start = (0, 0, 0, 0.0, "", 0.0, "")
+
+    def step(self, state: tuple, symbol: str) -> tuple[tuple, str, float]:
+        modal, target, open_ = (max(0, x - 1) for x in state[:3])
+        worth, verb, held, of = state[3:]
+        kind, full = symbol[0], (THREAT + MODAL) * mark(symbol)
+        weight, whole = (held, "-" not in of) if held and kind != "D" else (0.0, False)
+        held, of = 0.0, ""
+        if kind == "M":
+            modal = self.reach
+        elif kind == "H":
+            open_, worth, verb = self.reach, full if modal else THREAT * mark(symbol), symbol
+        elif kind == "h" and modal:
+            open_, worth, verb = 2, full, symbol
+        elif (kind == "V" and modal and target) or (kind == "X" and modal):
+            weight, whole = weight + full, whole or "-" not in symbol
+        elif kind in "TG":
+            target = 2
+            if open_ and verb[0] == "H":
+                weight, whole = weight + worth, whole or "-" not in verb
+            elif open_:
+                held, of = worth, verb
+            open_ = 0
         if not open_:
-            worth = 0.0
-        mark = (0.1 if "-" in symbol else 1.0) * (0.3 if "~" in symbol else 1.0)
-        if symbol == "M":
-            return (self.reach, open_, worth), symbol, 0.0
-        if symbol[0] == "H":
-            return (modal, self.reach, (STRENGTH["H"] + 0.8 * (modal > 0)) * mark), symbol, 0.0
-        if symbol in ("T", "G"):
-            return (modal, 0, 0.0), symbol, worth
-        if symbol[0] in "Iil":
-            return (modal, open_, worth), symbol, STRENGTH[symbol[0]] * mark
-        return (modal, open_, worth), symbol, 0.0
+            worth, verb = 0.0, ""
+        return (modal, target, open_, worth, verb, held, of), symbol + "!" * whole, weight
+
+
+class Scoring(Transducer):
+    """Insults by their weight; without a state."""
+
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return state, symbol, STRENGTH.get(symbol[0], 0.0) * mark(symbol)
 
 
 class Pairing(Transducer):
-    """Passes on what negation and reported speech have marked, with weight where an insult or a threat is paired; negated ones pair with nothing.
-    State: how near the last target, plain insult and threat are; mild insults so far (3: a strong one or a stem has come); whether a mild one came just before."""
+    """Passes on what negation, reported speech and threat have marked, with weight where an insult is paired or a threat complete; negated ones pair with nothing.
+    State: how near the last target and plain insult are; mild insults so far (3: a strong one or a stem has come); whether a mild one came just before."""
 
-    start = (0, 0, 0, 0, False)
+    start = (0, 0, 0, False)
 
-    def step(self, state: tuple[int, int, int, int, bool], symbol: str) -> tuple[tuple[int, int, int, int, bool], str, float]:
-        target, insult, threat = (max(0, x - 1) for x in state[:3])
-        seen, beside = state[3:]
-        kind = "o" if "-" in symbol else symbol[0]
+    def step(self, state: tuple[int, int, int, bool], symbol: str) -> tuple[tuple[int, int, int, bool], str, float]:
+        target, insult = (max(0, x - 1) for x in state[:2])
+        seen, beside = state[2:]
+        kind, threat = "o" if "-" in symbol else symbol[0], "!" in symbol
         if kind in "TG":
-            return (Target.reach, 0, 0, seen, False), symbol, float(insult > 0 or threat > 0)
-        if kind == "H":
-            return (target, insult, Scoring.reach, seen, False), symbol, 0.0
+            return (Target.reach, 0, seen, False), symbol, float(insult > 0 or threat)
         if kind in "Iil":
             mild, plain = kind == "i", "~" not in symbol
             paired = (target > 0 and plain) or seen >= 2 or (seen == 1 and (beside or not mild))
-            return (target, Target.reach if plain else insult, threat, min(seen + 1, 3) if mild else 3, mild), symbol, float(paired)
-        return (target, insult, threat, seen, False), symbol, 0.0
+            return (target, Target.reach if plain else insult, min(seen + 1, 3) if mild else 3, mild), symbol, float(paired or threat)
+        return (target, insult, seen, False), symbol, float(threat)
 
 
 class Composed(Transducer):
@@ -174,18 +206,18 @@ class Composed(Transducer):
 
 @cache
 def grammar() -> Composed:
-    return Composed(Composed(Composed(Negation(), Reported()), Target()), Scoring())
+    return Composed(Composed(Composed(Composed(Negation(), Reported()), Threat()), Target()), Scoring())
 
 
 @cache
 def pairing() -> Composed:
-    return Composed(Composed(Negation(), Reported()), Pairing())
+    return Composed(Composed(Composed(Negation(), Reported()), Threat()), Pairing())
 
 
 def path(g: Transducer, symbols: str) -> tuple[float, object]:
-    """Weight of the path that reads the symbols, and the state where it ends."""
+    """Weight of the path that reads the symbols and the clause's end, and the state where it ends."""
     state, total = g.start, 0.0
-    for s in symbols:
+    for s in symbols + END:
         state, _, w = g.step(state, s)
         total += w
     return total, state
@@ -199,7 +231,7 @@ def clause_score(symbols: str) -> float:
 def evidence(symbols: str) -> tuple[bool, bool, bool]:
     """Of a clause: whether it counts by itself, whether it holds an insult and whether one that isn't mild."""
     paired, (_, end) = path(pairing(), symbols)
-    return paired > 0, end[3] > 0, end[3] == 3
+    return paired > 0, end[2] > 0, end[2] == 3
 
 
 #: Clauses with an insult by word from which insults that are strewn over a document's clauses count.
@@ -226,16 +258,19 @@ Stems = dict[int, np.ndarray]  # by length in bytes: sorted hashes of word begin
 
 @dataclass(frozen=True)
 class Learning:
-    """rows: most labelled documents of each class; support: toxic documents that a stem needs; lift: how much more frequent it is in them."""
+    """rows: most labelled documents of each class; support, share: toxic documents that a stem needs, by number and of all that are used; again: how often it
+    occurs in each of them on average; lift: how much more frequent it is in them."""
 
     rows: int = 2000
-    support: int = 10
+    support: int = 3
+    share: float = 0.02
+    again: float = 2.0
     lift: float = 10.0
     lengths: tuple[int, ...] = (5, 6, 7, 8)
 
 
 def beginnings(texts: pa.Array, lengths: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """By row: hashes of the distinct beginnings of words and how often each occurs; least word hash; words. The length is in the hash's lowest 4 bits."""
+    """By row: hashes of the distinct beginnings of words and how often each occurs; a hash of the four least word hashes; words. The length of a beginning is in its hash's lowest 4 bits."""
     n = len(texts)
     least, words = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     keys, counts = [np.zeros(0, np.uint64)] * n, [np.zeros(0, np.int32)] * n
@@ -245,8 +280,14 @@ def beginnings(texts: pa.Array, lengths: tuple[int, ...]) -> tuple[list[np.ndarr
         if not len(starts):
             continue
         hashed = kernel.hasher(kernel.lowered(buf))
-        h, first = hashed(starts, ends), np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        least[at + rows[first]] = np.minimum.reduceat(h, first)
+        h = hashed(starts, ends)
+        order = np.lexsort((h, rows))
+        h, r = h[order], rows[order]
+        new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])]))
+        h, r = h[new], r[new]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        for j in range(4):
+            least[at + r[place == j]] = kernel.mix(least[at + r[place == j]] ^ h[place == j])
         words[at : at + len(offs) - 1] = np.bincount(rows, minlength=len(offs) - 1)
         parts = []
         for size in lengths:
@@ -284,10 +325,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     single = found.groupBy("least", "toxic").agg(F.min_by(F.struct("words", "keys", "counts"), "id").alias("d"))
     each = single.select("toxic", F.explode(F.arrays_zip("d.keys", "d.counts")).alias("k")).select("toxic", F.col("k.keys").alias("key"), F.col("k.counts").alias("n"))
     toxic = F.col("toxic") == 1
-    total = single.agg(F.sum(F.when(toxic, F.col("d.words"))).alias("pos"), F.sum(F.when(~toxic, F.col("d.words"))).alias("neg"))
+    total = single.agg(F.sum(F.when(toxic, F.col("d.words"))).alias("pos"), F.sum(F.when(~toxic, F.col("d.words"))).alias("neg"), F.count_if(toxic).alias("toxic_docs"))
     sums = each.groupBy("key").agg(F.count_if(toxic).alias("docs"), F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("b"))
     lifted = (F.col("a") / F.col("pos")) >= g.lift * (F.col("b") + 1) / F.coalesce("neg", F.lit(1))
-    rows = sums.filter(F.col("docs") >= g.support).crossJoin(total).filter(lifted).select("key").toPandas()
+    wide = (F.col("docs") >= g.support) & (F.col("docs") >= g.share * F.col("toxic_docs")) & (F.col("a") >= g.again * F.col("docs"))
+    rows = sums.filter(F.col("docs") >= g.support).crossJoin(total).filter(wide & lifted).select("key").toPandas()
     keys = np.sort(rows["key"].to_numpy(np.int64).view(np.uint64))
     return {int(size): keys[(keys & np.uint64(15)) == size] for size in np.unique(keys & np.uint64(15))}
 
@@ -325,6 +367,11 @@ def measures(texts: pa.Array, stems: Stems | None = None) -> tuple[tuple[np.ndar
             h = hashed(starts[ok], starts[ok] + size) & ~np.uint64(15) | np.uint64(size)
             got = ok[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
             kind[got], hit[got] = ord("l"), True
+        # What may follow an object only matters right after one.
+        after = np.flatnonzero(kind == ord("D"))
+        before = kind[np.maximum(after - 1, 0)]
+        off = after[(after == 0) | ((before != ord("T")) & (before != ord("G"))) | (rows[np.maximum(after - 1, 0)] != rows[after])]
+        kind[off], hit[off] = ord("o"), False
         core = np.isin(kind, np.frombuffer(CORE.encode(), np.uint8))
         if not core.any():
             continue

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import toxicity
 from tests.llm.conftest import HARD, frame
@@ -29,18 +30,19 @@ def test_cases(text, toxic):
 
 def test_marks_lower_and_targets_raise():
     s = toxicity.clause_score
-    assert s("I") > s("RI") > s("NI") > s("RNI") > 0 == s("H")
+    assert s("I") > s("RI") > s("NI") > s("RNI") > 0 == s("H") == s("hT") == s("MhTD") == s("TV") == s("X") == s("MV")
+    assert s("MhT") == s("MhTo") == s("MTV") == s("MoX") == s("MHTD") > s("NMhT") > 0
     assert s("TI") == s("Ioo" + "T") > s("GI"[1:] + "G") > s("I")
     assert s("MHT") > s("HT") > s("NHT") > 0
     assert s("T" + "o" * toxicity.MEMORY + "I") == s("I")
 
 
 def test_composition_equals_running_each_in_turn():
-    parts = [toxicity.Negation(), toxicity.Reported(), toxicity.Target(), toxicity.Scoring()]
+    parts = [toxicity.Negation(), toxicity.Reported(), toxicity.Threat(), toxicity.Target(), toxicity.Scoring()]
     import itertools
 
-    for symbols in itertools.product("IiHMTGNRlo", repeat=4):
-        text, total = list(symbols), 0.0
+    for symbols in itertools.product("IiHhVXMTGNRDlo", repeat=4):
+        text, total = [*symbols, toxicity.END], 0.0
         for t in parts:
             state, out = t.start, []
             for x in text:
@@ -75,14 +77,22 @@ def test_against_brute_force(spark):
         assert got[i].toxic_score == pytest.approx(brute(t), abs=1e-5)
 
 
-def test_labels(spark):
+def test_labels_in_every_language(spark):
+    """Small labels: stems learned on nine tenths of the labelled documents, each tenth judged by those of the others."""
     from tests.conftest import SF
 
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    got = {r.doc_id: r.toxic for r in toxicity.score(spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'")).collect()}
-    pairs = [(labels[i], t) for i, t in got.items() if i in labels]
-    assert not any(t and not y for y, t in pairs)
-    assert sum(t for y, t in pairs if y) >= 0.85 * sum(y for y, _ in pairs)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = []
+    for fold in range(10):
+        held = labels.filter(f"pmod(xxhash64(doc_id), 10) = {fold}")
+        stems = toxicity.learn(docs, labels.join(held, "doc_id", "left_anti"))
+        mine = docs.join(held, "doc_id").select("doc_id", "text", "lang", F.col("toxic").alias("label")).collect()
+        total, most, _, words = toxicity.scores(pa.array([r.text for r in mine]), stems)
+        rows += zip([r.lang for r in mine], [r.label for r in mine], toxicity.is_toxic(total, most, words, toxicity.Limits()), strict=True)
+    assert not any(f and not y for _, y, f in rows)
+    for lang in ("en", "de", "fr", "es"):
+        # One of five French documents and three of 36 English ones are junk without a single insult.
+        assert sum(f for n, y, f in rows if y and n == lang) >= 0.8 * sum(y for n, y, _ in rows if n == lang), lang
 
 
 def test_hard_rows(hard, nothing):
@@ -107,7 +117,7 @@ def brute_stems(rows, learning):
     for doc, text, toxic in sorted(rows):
         ws = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
         if ws:
-            single.setdefault((min(toxicity.kernel.hash_text(w) for w in ws) ^ 1 << 63, toxic), ws)
+            single.setdefault((tuple(sorted({toxicity.kernel.hash_text(w) for w in ws})[:4]), toxic), ws)
     for (least, toxic), ws in single.items():
         words[toxic] += len(ws)
         for w in ws:
@@ -117,7 +127,9 @@ def brute_stems(rows, learning):
                     tf[toxic][key] += 1
                     if toxic:
                         df[key].add(least)
-    return {k for k, d in df.items() if len(d) >= learning.support and tf[1][k] / words[1] >= learning.lift * (tf[0][k] + 1) / words[0]}
+    docs = sum(toxic for _, toxic in single)
+    enough = lambda k: max(learning.support, learning.share * docs) <= len(df[k]) <= tf[1][k] / learning.again
+    return {k for k in df if enough(k) and tf[1][k] / words[1] >= learning.lift * (tf[0][k] + 1) / words[0]}
 
 
 def test_learning_against_brute_force(spark):
@@ -125,7 +137,7 @@ def test_learning_against_brute_force(spark):
     from tests.conftest import SF
 
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    learning = toxicity.Learning(support=4, lift=5.0)
+    learning = toxicity.Learning(support=4, share=0.05, again=1.5, lift=5.0)
     want = brute_stems([tuple(r) for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect()], learning)
     got = toxicity.learn(docs, labels, learning=learning)
 
@@ -153,7 +165,7 @@ def test_learning_hard_rows(spark, hard, nothing):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None), (7, 1), (8, 0), (77, 1)], "doc_id bigint, toxic int")
     assert toxicity.learn(hard, labels) == {}
     assert toxicity.learn(nothing, labels) == {} == toxicity.learn(hard, labels.filter("false"))
-    assert toxicity.learn(hard, labels, learning=toxicity.Learning(support=1, lift=1e-6))
+    assert toxicity.learn(hard, labels, learning=toxicity.Learning(support=1, share=0, again=1, lift=1e-6))
 
 
 @pytest.mark.parametrize(
@@ -195,3 +207,51 @@ def test_contracted_negations(apostrophe):
 def test_a_lone_t_is_no_negation():
     total, *_ = toxicity.scores(pa.array(["Isn t you idiot.", "At t you idiot.", "can", "t' you idiot."]))
     assert total.tolist() == pytest.approx([1.8, 1.8, 0, 1.8])
+
+
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [
+        ("The dog ate the trash.", False),
+        ("He picked up the garbage bags.", False),
+        ("My pig farm is doing well this year.", False),
+        ("The parasite lives in the gut of the host.", False),
+        ("The loser of the match shook hands.", False),
+        ("You should shoot them a message tomorrow.", False),
+        ("I will beat you at chess.", False),
+        ("He beat them in the final.", False),
+        ("They want to kill time with you.", False),
+        ("The fool and the clown are characters in the play.", False),
+        ("Stupid me, I forgot the ugly sweater.", False),
+        ("You are not stupid, you are tired.", False),
+        ("These people should be shot.", False),
+        ("Du bist ein Idiot.", True),
+        ("Tu es un connard.", True),
+        ("Eres un imbécil.", True),
+        ("Ich werde dich töten.", True),
+        ("Je vais te tuer.", True),
+        ("Voy a matarte.", True),
+        ("Don't hit them, you could burn the toast for them.", False),
+        ("You beat me to it.", False),
+        ("Will you shoot the photos, or should they?", False),
+        ("We will destroy you.", True),
+        ("You people are vermin.", True),
+        ("Immigrants are scum.", True),
+        ("I will beat you.", True),
+        ("I will beat you senseless", True),
+        ("Du bist kein Idiot.", False),
+        ("Tu n'es pas un imbécile.", False),
+        ("Ich werde dich nicht töten.", False),
+        ("No voy a matarte.", False),
+        ("I will kill them.", True),
+        ("She said he will kill them", False),
+        ("You should kill the process.", False),
+        ("Will you kill the lights?", False),
+        ("I will not hurt you.", False),
+        ("La máquina va a matar el proceso.", False),
+        ("Er will den Prozess töten.", False),
+    ],
+)
+def test_clauses_in_four_languages(text, toxic):
+    total, most, _, words = toxicity.scores(pa.array([text]))
+    assert bool(toxicity.is_toxic(total, most, words, toxicity.Limits())[0]) is toxic
