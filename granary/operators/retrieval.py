@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from granary.functions import numeric as n
 from granary.functions import text as t
 from granary.operators import lexical
 from granary.operators.lexical import ranked
-from granary.operators.vectors import blocks, products
+from granary.operators.vectors import blocks, centres, in_cells, products
 from granary.runtime import cut_lineage
 
 
@@ -41,6 +43,41 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     return ranked(near.withColumn("score", n.distance_score(1 - F.col("cos"))), k, id_col="id")
 
 
+def store_vectors(corpus: DataFrame, path: str, cells: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 20_000, piece: int = 20_000) -> np.ndarray:
+    """Writes every vector (id, v, cell, piece) by cell, and returns the cells' centres. They are fitted on at most ``sample`` vectors; all are indexed. A cell is
+    written by as many tasks as it has pieces of about ``piece`` vectors, so a cell that holds most of them is no task's burden."""
+    c = centres(corpus, vector_col, cells, sample)
+    rows = in_cells(corpus, id_col, vector_col, c)
+    pieces = max(1, -(-corpus.count() // piece))
+    placed = rows.withColumn("piece", F.expr(f"pmod(xxhash64(id), {pieces})").cast("int"))
+    placed.repartition("cell", "piece").write.mode("overwrite").partitionBy("cell").parquet(path)
+    return c
+
+
+def search_vectors(index: DataFrame, c: np.ndarray, queries: DataFrame, k: int, probes: int = 16) -> DataFrame:
+    """(query_id, id, cos, score, rank): nearest of each query (query_id, qvec) among the vectors of its ``probes`` nearest cells. Only those cells are read;
+    cosines are exact, but a neighbour in another cell is missed. With as many probes as cells it is :func:`knn`."""
+    asked = in_cells(queries, "query_id", "qvec", c, probes).toDF("query_id", "q", "at")
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", index.schema["id"].dataType), T.StructField("cos", T.DoubleType())])
+
+    def run(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            q, v = (np.frombuffer(b"".join(t.column(n).to_pylist())).reshape(t.num_rows, -1) for t, n in ((left, "q"), (right, "v")))
+        for lo in range(0, left.num_rows if right.num_rows else 0, 256):
+            cos = q[lo : lo + 256] @ v.T
+            edge = np.partition(cos, max(cos.shape[1] - k, 0), axis=1)[:, max(cos.shape[1] - k, 0)]
+            a, b = np.nonzero(cos >= edge[:, None] - 1e-9)
+            out.append(pa.table([left.column("query_id").take(pa.array(lo + a)), right.column("id").take(pa.array(b)), pa.array(cos[a, b])], schema.names))
+        return pa.concat_tables(out) if out else pa.table([left.column("query_id").slice(0, 0), right.column("id").slice(0, 0), pa.array([], pa.float64())], schema.names)
+
+    # A row for each piece of a cell: their number is the corpus over a constant.
+    spread = index.select(F.col("piece").alias("part")).distinct()
+    wanted = asked.crossJoin(F.broadcast(spread))
+    near = wanted.groupBy("at", "part").cogroup(index.groupBy("cell", "piece")).applyInArrow(run, schema)
+    return ranked(near.withColumn("score", n.distance_score(1 - F.col("cos"))), k, id_col="id")
+
+
 def min_max(score: str, *by: str) -> Column:
     """Scores of a list to 0..1; 1 if all are equal."""
     w = W.partitionBy(*by)

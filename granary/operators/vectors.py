@@ -59,6 +59,43 @@ def products(crossed: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.nda
     return crossed.select("query_id", "q", "id", "v").mapInArrow(run, schema)
 
 
+def centres(vectors: DataFrame, vector_col: str, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Unit centres of at most ``cells`` cells by spherical k-means, fitted on the driver from at most ``sample`` vectors, those with the least hashes."""
+    rows = vectors.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(vector_col).orderBy(F.xxhash64(vector_col)).limit(sample).toArrow()
+    if not rows.num_rows:
+        return np.zeros((1, 1))
+    m = matrix(rows.column(0).combine_chunks())
+    rng = np.random.default_rng(seed)
+    c = m[rng.permutation(len(m))[:cells]]
+    for _ in range(rounds):
+        own = np.concatenate([np.argmax(m[lo : lo + BLOCK] @ c.T, 1) for lo in range(0, len(m), BLOCK)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, m)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 0, sums / np.maximum(size, 1e-30), c)
+    return c
+
+
+def in_cells(vectors: DataFrame, id_col: str, vector_col: str, c: np.ndarray, probes: int = 1) -> DataFrame:
+    """(id, v, cell): each unit vector once for each of its ``probes`` nearest cells. Rows without an id or a vector are left out."""
+    ship(vectors.sparkSession)
+    schema = T.StructType([T.StructField("id", vectors.schema[id_col].dataType), T.StructField("v", T.BinaryType()), T.StructField("cell", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                m = matrix(part.column(1))
+                k = min(probes, len(c))
+                near = np.argpartition(-(m @ c.T), k - 1, axis=1)[:, :k]
+                rows = pa.array(np.repeat(np.arange(len(m)), k))
+                flat = pa.array([x.tobytes() for x in m], pa.binary())
+                yield pa.record_batch([part.column(0).take(rows), flat.take(rows), pa.array(near.reshape(-1).astype(np.int32))], schema.names)
+
+    whole = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0))
+    return whole.select(id_col, vector_col).mapInArrow(run, schema)
+
+
 def sign_bands(vectors: DataFrame, id_col: str, vector_col: str, bands: int, bits: int, seed: int) -> DataFrame:
     """(id, v, key) for each band: the signs of ``bits`` random projections, with the band's number above them."""
     ship(vectors.sparkSession)

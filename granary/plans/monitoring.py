@@ -151,7 +151,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event sent twice is taken once."""
     rows = streams.read(spark, sf_dir).select("event_id", "user_id", "ts")
-    return streams.drain(streams.first_seen(rows.unionAll(rows), ["event_id"]), "append").select("event_id", "user_id")
+    return streams.drain(streams.first_seen(rows.unionAll(rows), ["event_id"], late=None), "append").select("event_id", "user_id")
 
 
 @query("SELECT event_type, count(*) AS n, sum(value) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")

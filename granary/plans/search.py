@@ -128,6 +128,14 @@ def vector_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.knn(vectors(spark, sf_dir), all_vectors(spark, sf_dir), 10)
 
 
+@query(f"WITH {sql.knn('SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 20 = 0', 10)} SELECT query_id, id, score, rank FROM nn")
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of all vectors, asked for every twentieth one's neighbours. All cells are probed, so that the answer is exact."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    c = retrieval.store_vectors(vectors(spark, sf_dir), path, cells=16)
+    return retrieval.search_vectors(spark.read.parquet(path), c, all_vectors(spark, sf_dir).filter("query_id % 20 = 0"), 10, probes=16).select("query_id", "id", "score", "rank")
+
+
 CENTRES = """cm AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
 cc AS (SELECT label, list(m ORDER BY i) AS c FROM cm GROUP BY label),
 ce AS (SELECT label, CASE WHEN list_dot_product(c, c) > 0 THEN list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) ELSE c END AS centroid FROM cc)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import os
 import re
@@ -10,6 +11,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +44,23 @@ def ship(spark: SparkSession) -> None:
     sc._granary_shipped = True
 
 
+def frugal(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that leaves its Python worker small: workers are kept for later tasks, and what their allocators hold back counts against the executor."""
+
+    @wraps(fn)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from fn(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``; a local one, deleted at exit, only where that is unset and all tasks run in this process."""
     sc = spark.sparkContext

@@ -11,21 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.governance import BREAKERS, Breaker
-from granary.runtime import checkpoint_dir, ship
+from granary.runtime import checkpoint_dir, forget, ship
 
 
-def read(spark: SparkSession, sf_dir: str, name: str = "events", time_col: str = "ts") -> DataFrame:
-    """A table as a stream, its time as a timestamp that can carry a watermark."""
+def read(spark: SparkSession, sf_dir: str, name: str = "events", time_col: str = "ts", files: int = 64) -> DataFrame:
+    """A table as a stream of ``files`` files a trigger, its time as a timestamp that can carry a watermark."""
     path = os.path.join(sf_dir, f"{name}.parquet")
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     rows = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return rows.withColumn(time_col, F.col(time_col).cast("timestamp"))
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there now and returns its result table: all appended rows, or the last complete one.
-    State, progress and results lie in the shared checkpoint folder, so a restart goes on where it stopped."""
+    State, progress and results lie in the shared checkpoint folder; the state goes when all is read."""
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
@@ -34,6 +34,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    forget(spark, f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/rows/all" if mode == "complete" else f"{base}/rows/part=*")
 
 
@@ -55,8 +56,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", b
     return w.agg(F.count(F.lit(1)).alias("n")).select(by, F.col("session_window.start").alias("start"), "n")
 
 
-def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """Rows whose keys haven't come within the watermark; state is bounded by it."""
+def first_seen(events: DataFrame, keys: list[str], late: str | None = "1 hour") -> DataFrame:
+    """Rows whose keys haven't come within the watermark; state is bounded by it, and rows later than that are dropped. Without ``late``, as for the replay of a
+    whole table whose files are in no order of time, nothing is dropped and every key is kept."""
+    if late is None:
+        return events.dropDuplicates(keys)
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 

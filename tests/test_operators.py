@@ -379,3 +379,35 @@ def test_no_local_checkpoint_folder_on_a_cluster(spark, monkeypatch):
     fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         runtime.checkpoint_dir(fake)
+
+
+def test_vector_index_recall(spark, tmp_path):
+    """A quarter of the cells finds at least nine of ten neighbours; all of them find every one."""
+    import numpy as np
+
+    from granary.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(30, 16))
+    rows = [(i, (centre[i % 30] + 0.4 * rng.normal(size=16)).tolist()) for i in range(3000)] + [(5000, None), (5001, []), (None, [1.0] * 16)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = corpus.filter("vec_id % 20 = 0 and size(embedding) > 0").selectExpr("vec_id as query_id", "embedding as qvec")
+    c = retrieval.store_vectors(corpus, f"{tmp_path}/v", cells=32, piece=500)
+    index = spark.read.parquet(f"{tmp_path}/v")
+    assert index.count() == 3000 and len(c) == 32
+    want = {(r.query_id, r.id, r["rank"]) for r in retrieval.knn(corpus, queries, 10).collect()}
+    assert {(r.query_id, r.id, r["rank"]) for r in retrieval.search_vectors(index, c, queries, 10, probes=32).collect()} == want
+    some = {(r.query_id, r.id) for r in retrieval.search_vectors(index, c, queries, 10, probes=8).collect()}
+    assert len(some & {w[:2] for w in want}) >= 0.9 * len(want)
+    assert retrieval.search_vectors(index, c, queries.filter("false"), 10).count() == 0
+
+
+def test_replays_lose_no_rows_whatever_the_order_of_files(spark, tmp_path):
+    from granary.streaming import events as streams
+
+    for part, day in enumerate((9, 1, 5, 1)):
+        rows = spark.range(part * 10, part * 10 + 12).selectExpr("id as event_id", f"timestamp'2024-01-0{day} 00:00:00' as ts")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream = streams.read(spark, str(tmp_path), files=1)
+    got = [r.event_id for r in streams.drain(streams.first_seen(stream, ["event_id"], late=None), "append").collect()]
+    assert sorted(got) == list(range(42))
