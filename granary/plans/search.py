@@ -304,9 +304,26 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "rank", "id", F.col("id").alias("doc_id"), F.col("source").alias("title"), "text", F.col("final_score").alias("score"))
 
 
-@query()
+def _filled(budget: int) -> str:
+    """CTEs up to cx: the chunks rr(query_id, rank, id, source, text, final_score) filled in by rank, one more a step."""
+    head = "'[Source ' || n.rank || '] doc=' || n.id || ' chunk=' || n.id || ' | score: ' || format('{:.2f}', n.final_score) || CASE WHEN coalesce(n.source, '') <> '' THEN chr(10) || 'Title: ' || n.source ELSE '' END"
+    gap, cut = "chr(10) || chr(10)", "list_slice(ws, 1, greatest(room - hc - 20, 0))"
+    return f"""rr AS MATERIALIZED (SELECT query_id, k.rank, k.id, source, text, final_score, {sql.words('text')} AS ws FROM ({_CUT}) k JOIN documents ON doc_id = k.id),
+fl(query_id, rank, used, included, truncated, context, sources, stop) AS (SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, 0, 0, '', '', false FROM rr UNION ALL
+  SELECT query_id, rank, CASE WHEN halt THEN used ELSE used + lead + len({sql.words('body')}) END, CASE WHEN halt THEN included ELSE included + 1 END, CASE WHEN over AND NOT halt THEN truncated + 1 ELSE truncated END,
+    CASE WHEN halt THEN context ELSE context || CASE WHEN included > 0 THEN {gap} || '---' || {gap} ELSE '' END || body END, CASE WHEN halt THEN sources ELSE concat_ws(',', nullif(sources, ''), id::VARCHAR) END, halt
+  FROM (SELECT *, over AND room <= 200 AS halt, head || {gap} || CASE WHEN over THEN array_to_string({cut}, ' ') || '...' ELSE text END AS body
+    FROM (SELECT *, {budget} - used - lead AS room, used + lead + hc + len(ws) > {budget} AS over
+      FROM (SELECT f.query_id, n.rank, f.used, f.included, f.truncated, f.context, f.sources, n.id, n.text, n.ws, CASE WHEN f.included > 0 THEN 1 ELSE 0 END AS lead, {head} AS head, len({sql.words(head)}) AS hc
+        FROM fl f JOIN rr n ON n.query_id = f.query_id AND n.rank = f.rank + 1 WHERE NOT f.stop)))),
+cx AS (SELECT query_id::VARCHAR AS query_id, context, used::INTEGER AS token_count, included::INTEGER AS chunks_included, truncated::INTEGER AS chunks_truncated, sources FROM fl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {CANDIDATES}, r AS (SELECT query_id, id, combined_score * 0.3::DOUBLE + CASE WHEN hi = lo THEN 1 ELSE (o - lo) / (hi - lo) END * 0.7::DOUBLE AS final_score FROM cm),
+{_filled(1500)} SELECT * FROM cx""")
 def context_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.assemble(results(spark, sf_dir), budget=1500)
+    rows = context.assemble(results(spark, sf_dir), budget=1500)
+    return rows.withColumn("sources", F.array_join(F.transform("sources", lambda x: x["doc_id"]), ","))
 
 
 SIMPLE = f"""{sql.bm25(sql.BENCHMARK, 3)}, sc AS (SELECT query_id, string_agg('[Chunk ' || rank || '] doc=' || doc_id || ' chunk=' || (rank - 1) || chr(10) || coalesce(d.text, ''), chr(10) || chr(10) ORDER BY rank) AS context
