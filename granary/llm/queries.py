@@ -47,6 +47,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(table(spark, sf_dir, "documents"))
 
 
+def sentencepiece_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op9: the texts back from their pieces."""
+    return unigram.decode(op9_sentencepiece(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chat_formatting, op2_toxicity, op3_exact_dedup, op4_minhash_near_dedup, op5_quality_rules,
-        op6_sharding, op7_token_counts, op8_lm_scoring, op9_sentencepiece, op10_packing, pipeline,
+        op6_sharding, op7_token_counts, op8_lm_scoring, op9_sentencepiece, op10_packing, pipeline, sentencepiece_decoding,
     )
     return {f.__name__: f for f in found}
 
@@ -71,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality.KEPT_SQL,
         "op6_sharding": sharding.SHARD_SQL,
         "op10_packing": packing.PACK_SQL,
+        "sentencepiece_decoding": unigram.DECODED_SQL,
     }

@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-Pieces and their log scores are read from a model file. The trie is a double array over UTF-8 bytes, with the
+Pieces and their log scores are read from a model file. A file of a merging encoder has no log scores, only the order of its merges; tokenizers aren't trained here,
+so its pieces get those of Zipf's law by rank, log p = -log(rank) - log(1 + 1/2 + ... + 1/n), which add up to 1. The trie is a double array over UTF-8 bytes, with the
 white-space marker as the one byte 0x20. A text is its units' concatenation: a unit is a run of spaces
 with what follows up to the next space or line feed, or a line feed. No piece crosses a unit's edge, which is
 proven when the model is read (else whole texts are units), so the best path of a text is that of
@@ -31,7 +32,7 @@ from granary.llm.common import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 400_000  # units kept solved in a worker; beyond it they are forgotten, not refused
+REMEMBERED, SOLVED = 400_000, 4_000_000  # units kept solved in a worker, and their ids; beyond either they are forgotten, not refused
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -57,21 +58,34 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
+EXACT = 1 << 20  # scores are kept to 20 binary places: sums are exact then, and equal paths are equal whatever goes before them
+MERGING = 2  # the type of model whose scores are the order of merges
 
 
 def read_pieces(model: bytes) -> tuple[list[tuple[str, float, int]], bool]:
     """(piece, score, kind) by id, and whether a space goes before each text."""
-    pieces, prefix = [], True
+    pieces, prefix, merges = [], True, False
     for tag, v in _fields(model):
         if tag == 1:
             p = dict(_fields(v))
             pieces.append((p[1].decode(), struct.unpack("<f", p[2])[0] if 2 in p else 0.0, p.get(3, NORMAL)))
+        elif tag == 2:
+            merges = dict(_fields(v)).get(3) == MERGING
         elif tag == 3:
             rules = dict(_fields(v))
             if rules.get(2) or rules.get(4, 1):
                 raise ValueError("only models with identity normalisation that keep white space")
             prefix = bool(rules.get(3, 1))
-    return pieces, prefix
+    return [(text, round(score * EXACT) / EXACT, kind) for text, score, kind in (zipf(pieces) if merges else pieces)], prefix
+
+
+def zipf(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """Normal pieces, best score first, with log-probabilities by rank."""
+    order = sorted((i for i, p in enumerate(pieces) if p[2] == NORMAL), key=lambda i: (-pieces[i][1], i))
+    score = -np.log(np.arange(1.0, len(order) + 1))
+    score -= np.logaddexp.reduce(score) if len(order) else 0.0
+    new = dict(zip(order, score.tolist(), strict=True))
+    return [(text, new.get(i, old), kind) for i, (text, old, kind) in enumerate(pieces)]
 
 
 class DoubleArray:
@@ -228,11 +242,11 @@ class Unigram:
         spot_in = np.minimum(spot, max(len(self.known) - 1, 0))
         new = np.flatnonzero(self.known[spot_in] != distinct) if len(self.known) else np.arange(len(distinct))
         if len(new):
-            if len(self.known) + len(new) > REMEMBERED and len(self.known):
-                self.forget()
-                return self.solve(buf, starts, ends)
             s, e = starts[first[new]], ends[first[new]]
             size = e - s
+            if len(self.known) and (len(self.known) + len(new) > REMEMBERED or len(self.solved) + int(size.sum()) > SOLVED):
+                self.forget()
+                return self.solve(buf, starts, ends)
             at = np.cumsum(size) - size
             flat = np.arange(int(size.sum())) - np.repeat(at - s, size)
             ids, count = self.viterbi(buf[flat], at, at + size)
@@ -322,3 +336,6 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces
 
     kind = encoded.select(id_col).schema[0].dataType.simpleString()
     return map_batches(encoded.select(id_col, pieces_col), run, f"doc_id {kind}, text string")
+
+
+DECODED_SQL = f"SELECT doc_id, replace(coalesce(text, ''), '{MARK}', ' ') AS text FROM documents"
