@@ -23,6 +23,7 @@ from granary.llm.common import map_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMORY = 300_000  # remembered counts of merged pre-tokens in a worker; beyond it they are forgotten, not refused
+LONG = 64  # characters of a pre-token from which it is merged each time, so that what is remembered stays under some 80 MB
 MERGED = 1 << 40
 
 
@@ -82,17 +83,21 @@ class Counts(dict):
         self.engine = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self.engine._encode_single_piece(piece)) + MERGED
+        n = len(self.engine._encode_single_piece(piece)) + MERGED
+        if len(piece) < LONG:
+            self[piece] = n
         return n
 
     def count(self, text: str | None) -> tuple[int, int]:
         """Tokens, and pre-tokens that had to be merged."""
         if not text:
             return 0, 0
-        total = sum(map(self.__getitem__, self.pieces(text)))
-        if len(self) > self.limit:
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
+        total = 0
+        for lo in range(0, len(pieces := self.pieces(text)), self.limit):
+            total += sum(map(self.__getitem__, pieces[lo : lo + self.limit]))
+            if len(self) > self.limit:
+                self.clear()
+                self.update(dict.fromkeys(self.whole, 1))
         return total % MERGED, total // MERGED
 
 
