@@ -5,11 +5,13 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from granary.llm import neardup, packing, quality, toxicity
+from granary.llm import neardup, packing, quality, tokencount, toxicity
 from tests.conftest import SF
 from tests.llm.conftest import HARD
+from tests.llm.test_quality_sharding_packing import by_plain_loops
 
 DOC_STAGES = corpus_pipeline.STAGES[:-1]
 
@@ -59,15 +61,8 @@ def test_run_against_brute_force(spark):
             root = [x if r == y else r for r in root]
     docs = [d for i, d in enumerate(docs) if root[i] == i]
 
-    place, want = defaultdict(int), set()
-    for i, t, *_ in docs:
-        n = len(t.split())
-        for piece, start in enumerate(range(0, n, packing.CAPACITY)):
-            k = min(n - start, packing.CAPACITY)
-            c = min(packing.CAPACITY // k, packing.CLASSES)
-            at = place[i >> packing.SLICE_BITS, c]
-            place[i >> packing.SLICE_BITS, c] += 1
-            want.add((i, piece, start, k, c, f"{i >> packing.SLICE_BITS}-{c}-{at // c}", at % c))
+    encoder = tiktoken.Encoding("own", pat_str=tokencount.PATTERN, mergeable_ranks=tokencount.read_ranks(tokencount.VOCABULARY), special_tokens={})
+    want = set(by_plain_loops([(d[0], len(encoder.encode_ordinary(d[1]))) for d in docs], packing.CAPACITY, 1))
     got = {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
 
