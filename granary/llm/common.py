@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.runtime import cut_lineage, ship
+from granary.runtime import cut_lineage, frugal, ship
 
 BROADCAST_BYTES = 64 << 20
 
@@ -37,7 +37,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def extended(df: DataFrame, columns: dict[str, T.DataType]) -> T.StructType:

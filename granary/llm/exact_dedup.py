@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from granary.llm.common import fresh, sized
-from granary.runtime import cut_lineage, ship
+from granary.runtime import cut_lineage, frugal, ship
 
 HEAVY = 1024  # most digests whose winners are broadcast
 COUNTERS = 1024  # counters of each task's summary
@@ -62,7 +62,7 @@ def frequent(hashes: DataFrame, column: str, heavy: int, counters: int) -> DataF
             s.add(b.column(0).to_numpy(zero_copy_only=False))
         yield pa.record_batch([pa.array(s.keys), pa.array(s.counts)], ["key", "low"])
 
-    found = hashes.select(column).mapInArrow(run, "key bigint, low bigint")
+    found = hashes.select(column).mapInArrow(frugal(run), "key bigint, low bigint")
     return found.groupBy("key").agg(F.sum("low").alias("low")).filter("low > 1").orderBy(F.desc("low"), "key").limit(heavy).select("key")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import kernel
 from granary.llm.common import map_batches
-from granary.runtime import cut_lineage, ship
+from granary.runtime import cut_lineage, frugal, ship
 
 
 @dataclass(frozen=True)
@@ -316,7 +316,7 @@ def summed(rows: DataFrame, n: int) -> DataFrame:
 
     while True:
         n = -(-n // FAN)
-        rows = rows.repartitionById(n, F.expr(f"cast(shard div {FAN} as int)")).sortWithinPartitions("shard").mapInArrow(run, ROW)
+        rows = rows.repartitionById(n, F.expr(f"cast(shard div {FAN} as int)")).sortWithinPartitions("shard").mapInArrow(frugal(run), ROW)
         if n <= 1:
             return rows
 
@@ -343,7 +343,7 @@ def train_round(docs: DataFrame, id_col: str, text_col: str, shape: Shape, words
     mine = docs.select(F.col(text_col).alias("text"), h.alias("h")).filter(f"text is not null and pmod(h, {shape.rounds}) = {turn}")
     placed = mine.select(F.expr(f"pmod(shiftrightunsigned(h, 8), {shards})").cast("int").alias("shard"), "text", "h")
     ordered = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h").select("shard", "text")
-    got = summed(ordered.mapInArrow(run, ROW), shards).collect()
+    got = summed(ordered.mapInArrow(frugal(run), ROW), shards).collect()
     if not got:
         return flat
     return (np.frombuffer(got[0]["flat"]) / got[0]["seen"]).astype(np.float32)
@@ -424,7 +424,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     columns = f"doc_id {kind}, row bigint, word bigint, shared int, times bigint, logp double, n_tokens bigint"
-    found = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("row")).mapInArrow(run, columns)
+    found = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("row")).mapInArrow(frugal(run), columns)
     rare = counted.filter(F.col("n") < counts.least)
     ids = F.element_at(F.array(*[F.lit(float(max(x, 1.0))) for x in counts.ids]), F.col("shared") + 1)
     value = F.col("logp") + F.coalesce(F.col("times") * F.log(F.col("n") / ids), F.lit(0.0))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import kernel
 from granary.llm.common import fresh, map_batches, sized
-from granary.runtime import cut_lineage, ship
+from granary.runtime import cut_lineage, frugal, ship
 
 
 @dataclass(frozen=True)
@@ -263,7 +263,7 @@ def class_links(classes: DataFrame, index: Index, block: int = 2048) -> DataFram
         if kept and (out := found(pa.Table.from_batches(kept))) is not None:
             yield out
 
-    return ordered.mapInArrow(match, "id bigint, peer bigint, n bigint")
+    return ordered.mapInArrow(frugal(match), "id bigint, peer bigint, n bigint")
 
 
 def components(edges: DataFrame, a: str = "doc_id", b: str = "near_id") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.common import fresh, sized
-from granary.runtime import ship
+from granary.runtime import frugal, ship
 
 SHARDS = 16
 
@@ -52,7 +52,7 @@ def assign(docs: DataFrame, groups: list[str], shards: int = SHARDS, text_col: s
             out = list(lpt(b.column(b.num_columns - 1).to_pylist(), heap))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=schema.names)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(frugal(run), schema)
 
 
 def shard(docs: DataFrame, groups: list[str], shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -92,7 +92,7 @@ def test_every_link_within_the_distance(spark, index, block):
 
 
 def test_a_hot_key_is_searched_in_blocks(spark):
-    """100,000 signatures under one key: no task has more than two blocks of them, and what is emitted is a row for each at most."""
+    """20,000 signatures under one key: no task has more than two blocks of them, and what is emitted is a row for each at most."""
     index = neardup.Index(k=8, r=4, errors=1)
     rng = np.random.default_rng(0)
     sig = np.unique(np.concatenate([np.full((20_000, 3), 7), rng.integers(0, 60_000, (20_000, 5))], 1).astype(np.uint16), axis=0)
