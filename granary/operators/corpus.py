@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from granary.functions import numeric as n
 from granary.functions import text as t
+from granary.operators import buckets
 from granary.operators.vectors import sign_bands
-from granary.runtime import cut_lineage
+from granary.runtime import cut_lineage, frugal
 
 
 def normalize(files: DataFrame, tenant: str = "default", patterns: list[str] | None = None, now: str | None = None, quotes: bool = False) -> DataFrame:
@@ -58,21 +64,46 @@ def against_stored(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(fresh.join(known, "content_hash", "left_anti").select("doc_id"), "doc_id", "left_semi")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", bands: int = 24, bits: int = 14, seed: int = 3) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", bands: int = 24, bits: int = 14, seed: int = 3, block: int = 2048) -> DataFrame:
     """(id, near_id, similarity) of each vector with the most similar earlier one at or over the threshold.
 
     Vectors meet if all signs of ``bits`` random projections agree in one of ``bands`` bands, and are then compared exactly. At a cosine of .95
     a pair meets with probability 1 - (1 - .899 ** 14) ** 24 = .997; unlike vectors share a key with probability 2 ** -14 a band. Equal
-    vectors are one class, named by its least id, which is what the others are nearest to. Only ids and keys are grouped; vectors are joined to
-    the pairs that met."""
-    signed = sign_bands(vectors, id_col, vector_col, bands, bits, seed)
-    classes = cut_lineage(signed.groupBy("v").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.collect_list("id").alias("members")))
-    same = classes.filter(F.size("members") > 1).select(F.explode("members").alias("id"), F.col("id").alias("near_id")).filter("id <> near_id").select("id", "near_id", F.lit(1.0).alias("similarity"))
-    keyed = classes.select("id", F.explode("keys").alias("key"))
-    met = keyed.join(keyed.select(F.col("id").alias("near_id"), "key"), "key").filter("near_id < id").select("id", "near_id").distinct()
-    v = classes.select("id", "v")
-    both = met.join(v, "id").join(v.select(F.col("id").alias("near_id"), F.col("v").alias("w")), "near_id")
-    hits = both.withColumn("similarity", n.dot("v", "w")).filter(F.col("similarity") >= threshold)
+    vectors are one class, named by its least id, which is what the others are nearest to. Pairs aren't emitted: a cell gives each of its vectors the nearest earlier one in it,
+    and a key that many share is cut into blocks."""
+    signed = cut_lineage(sign_bands(vectors, id_col, vector_col, bands, bits, seed))
+    classes = cut_lineage(signed.groupBy("v").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("size")).withColumn("class", F.monotonically_increasing_id()))
+    several = classes.filter("size > 1").select("v", F.col("id").alias("near_id"))
+    same = signed.select("id", "v").join(several, "v").filter("id <> near_id").select("id", "near_id", F.lit(1.0).alias("similarity"))
+    keyed = classes.select(F.explode("keys").alias("key"), F.col("class").alias("id"))
+    entries = buckets.cells(keyed, block).withColumnRenamed("id", "class").join(classes.select("class", "id", "v"), "class")
+    ordered = buckets.gathered(entries).select("key", "x", "y", "side", "id", "v")
+    kind = classes.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("near_id", kind), T.StructField("similarity", T.DoubleType())])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in buckets.whole(batches):
+            of = buckets.numbered(cells)
+            side, ids = cells.column("side").to_numpy(), cells.column("id").combine_chunks()
+            v = cells.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(cells.num_rows, -1)
+            order = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+            found = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                for at in range(lo, hi, 256):
+                    end = min(at + 256, hi)
+                    cos, met = v[at:end] @ v[lo:hi].T, side[at:end, None] + side[None, lo:hi]
+                    fits = ((met == 0) | (met == 3)) & (order[None, lo:hi] < order[at:end, None]) & (cos >= threshold)
+                    cos = np.where(fits, np.round(cos, 9), -np.inf)
+                    top = cos.max(1)
+                    least = np.argmin(np.where(cos == top[:, None], order[None, lo:hi], np.iinfo(np.int64).max), axis=1)
+                    hit = np.flatnonzero(top > -np.inf)
+                    found.append((at + hit, lo + least[hit], np.einsum("ij,ij->i", v[at + hit], v[lo + least[hit]])))
+            a, b, s = (np.concatenate([f[i] for f in found]) for i in range(3))
+            if len(a):
+                yield pa.record_batch([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s)], schema.names)
+
+    hits = ordered.mapInArrow(frugal(nearest), schema)
     best = hits.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "near_id"))).filter("r = 1")
     return best.select("id", "near_id", "similarity").unionAll(same)
 

@@ -105,7 +105,8 @@ def test_knn_against_brute_force(spark):
     assert got.filter("query_id = 9001").count() == 5 and got.filter("query_id = 9000").count() == 0
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("block", [2, 2048])
+def test_near_vectors(spark, block):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(400, 32))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
@@ -115,9 +116,12 @@ def test_near_vectors(spark):
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     cos = np.tril(u @ u.T, -1)
     want = {i for i in range(len(m)) if (cos[i] >= 0.95).any()}
-    got = {r["id"]: r["similarity"] for r in corpus.near_vectors(df).collect()}
+    got = {r["id"]: r["similarity"] for r in corpus.near_vectors(df, block=block).collect()}
     assert len(want) > 100 and set(got) <= want and len(got) >= 0.97 * len(want)
     assert all(s >= 0.95 for s in got.values())
+    # One key for all: each gets its nearest earlier one exactly.
+    rows = corpus.near_vectors(df, bands=1, bits=0, block=100 if block == 2 else block).collect()
+    assert {(r["id"], r["near_id"]) for r in rows} == {(i, int(np.argmax(cos[i]))) for i in want}
     twice = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (4, [0.0, 1.0]), (5, None)], "vec_id bigint, embedding array<float>")
     assert sorted(tuple(r) for r in corpus.near_vectors(twice).collect()) == [(2, 1, 1.0), (3, 1, 1.0)]
 
