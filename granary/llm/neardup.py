@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import kernel
 from granary.llm.common import fresh, map_batches, sized
+from granary.operators import buckets
 from granary.runtime import cut_lineage, frugal, ship
 
 
@@ -215,53 +216,16 @@ def class_links(classes: DataFrame, index: Index, block: int = 2048) -> DataFram
         return pa.record_batch([batch.column(0), _lists(index_keys(sig, index).view(np.int64), pa.int64())], ["id", "keys"])
 
     keyed = map_batches(classes.select("id", "sig"), keys, "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("key"))
-    # Keys that more classes share than a bucket holds are counted first, so that their lists are never gathered.
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    hot, _ = sized(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), 16)
-    split = keyed.join(hot, "key", "left")
-    few = split.filter("blocks is null").groupBy("key").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
-    flat = few.select("key", F.explode("ids").alias("id"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"))
-    own = F.expr("pmod(xxhash64(id), blocks)").cast("int")
-    cells = split.filter("blocks is not null").select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    # Two blocks meet in the cell (lesser, greater); in the cell of a block with itself all rows meet each other.
-    crossed = cells.select("key", "id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"))
-    entries = flat.unionAll(crossed).join(classes, "id")
-    ordered = entries.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").select("key", "x", "y", "side", "id", "size", "sig")
+    ordered = buckets.gathered(buckets.cells(keyed, block).join(classes, "id")).select("key", "x", "y", "side", "id", "size", "sig")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
-        def found(whole: pa.Table) -> pa.RecordBatch | None:
-            if not whole.num_rows:
-                return None
-            key, x, y, side, ids, size = (whole.column(c).to_numpy() for c in range(6))
-            sig = np.frombuffer(b"".join(whole.column(6).to_pylist()), np.uint16).reshape(-1, index.k)
-            bucket = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-            n, label = bucket_links(bucket, side, key & 255, size, sig, index)
+        for cells in buckets.whole(batches):
+            key, side, ids, size = (cells.column(c).to_numpy() for c in ("key", "side", "id", "size"))
+            sig = np.frombuffer(b"".join(cells.column("sig").to_pylist()), np.uint16).reshape(-1, index.k)
+            n, label = bucket_links(buckets.numbered(cells), side, key & 255, size, sig, index)
             some = np.flatnonzero(n)
-            if not len(some):
-                return None
-            peer = pa.array(ids[label[some]], mask=label[some] == some)
-            return pa.record_batch([pa.array(ids[some]), peer, pa.array(n[some])], ["id", "peer", "n"])
-
-        for batch in batches:
-            # The last bucket may go on in the next batch; it holds no more than two blocks.
-            last = [batch.column(c)[-1].as_py() for c in range(3)]
-            same = np.ones(batch.num_rows, bool)
-            for c, v in enumerate(last):
-                same &= batch.column(c).to_numpy() == v
-            at = int(np.argmax(same)) if same[-1] else batch.num_rows
-            before = kept[0].slice(0, 1) if kept else None
-            goes_on = before is not None and [before.column(c)[0].as_py() for c in range(3)] == last
-            if at == 0 and goes_on:
-                kept.append(batch)
-                continue
-            done = [*kept, batch.slice(0, at)]
-            kept = [batch.slice(at)]
-            if (out := found(pa.Table.from_batches(done))) is not None:
-                yield out
-        if kept and (out := found(pa.Table.from_batches(kept))) is not None:
-            yield out
+            if len(some):
+                yield pa.record_batch([pa.array(ids[some]), pa.array(ids[label[some]], mask=label[some] == some), pa.array(n[some])], ["id", "peer", "n"])
 
     return ordered.mapInArrow(frugal(match), "id bigint, peer bigint, n bigint")
 
