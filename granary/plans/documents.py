@@ -278,7 +278,12 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", governance.redact("text").alias("clean"))
 
 
-@query()
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS gaps FROM documents" for k, p in _PII.items())
+
+
+@query(f"""WITH f AS ({_FOUND}), k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM f WHERE len(m) > 0),
+s AS (SELECT doc_id, type, m[k] AS value, list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice(m, 1, k - 1), lambda x: length(x))), 0) AS start FROM k)
+SELECT doc_id::VARCHAR AS doc_id, type, value, start::INTEGER AS start, (start + length(value))::INTEGER AS "end" FROM s""")
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.pii_spans(documents(spark, sf_dir))
 

@@ -16,7 +16,7 @@ from tests import oracle
 from tests.conftest import SF
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
-PLAIN = {"html_parse", "semantic_chunks", "semantic_chunks_bpe", "pii_spans", "answer_queries"}
+PLAIN = {"html_parse", "semantic_chunks", "semantic_chunks_bpe", "answer_queries"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
