@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -29,6 +29,21 @@ def compare(runs: DataFrame, first: str, second: str) -> DataFrame:
     return both.filter(F.assert_true(F.col("found") == F.lit(1 if first == second else 2), "a run is missing").isNull()).select(*[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"delta_{c}") for c in names])
 
 
+def save_run(results: DataFrame, path: str, run_id: str, version: str, at: str) -> None:
+    """Appends a run to the two stored tables below ``path``: results (rows of :func:`metrics`) by run, and runs with its summary."""
+    rows = results.drop("run_id").withColumn("run_id", F.lit(run_id))
+    rows.write.mode("append").partitionBy("run_id").parquet(f"{path}/results")
+    stored = results.sparkSession.read.parquet(f"{path}/results").filter(F.col("run_id") == run_id)
+    one = summary(stored, "run_id").select(F.col("run_id").cast("string"), F.lit(at).cast("timestamp").alias("timestamp"), F.lit(version).alias("pipeline_version"), F.struct(*[c for c in summary(stored).columns]).alias("summary"))
+    one.write.mode("append").parquet(f"{path}/runs")
+
+
+def compare_stored(spark: SparkSession, path: str, first: str, second: str) -> DataFrame:
+    """Differences of two stored runs' summaries."""
+    runs = spark.read.parquet(f"{path}/runs").select("run_id", "summary.*")
+    return compare(runs, first, second)
+
+
 def latency_linear(rows: DataFrame, by: str, value: str, points: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Percentiles with linear interpolation."""
     return rows.groupBy(by).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("p")).select(by, *[F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(points)])

@@ -83,6 +83,23 @@ def audit_lines(rows: DataFrame, event: str, fields: list[str], at: str = "ts")
     return rows.select(F.to_json(F.struct(F.lit(event).alias("event"), stamp.alias("timestamp"), *fields)).alias("value"))
 
 
+#: Fields of each kind of audit event, after its name and time.
+AUDITED = {
+    "query": ("user_id", "tenant_id", "query", "retrieved_doc_ids", "retrieved_count"),
+    "ingestion": ("user_id", "tenant_id", "doc_id"),
+    "access_violation": ("user_id", "tenant_id", "attempted_doc_id"),
+}
+
+
+def audit(rows: DataFrame, event: str, at: str = "ts") -> DataFrame:
+    """(value): the lines of one kind of event from rows with its fields; retrieved_count is made from retrieved_doc_ids."""
+    if event not in AUDITED:
+        raise ValueError(f"unknown audit event: {event}")
+    if event == "query":
+        rows = rows.withColumn("retrieved_count", F.size("retrieved_doc_ids"))
+    return audit_lines(rows, event, list(AUDITED[event]), at)
+
+
 def cost_summary(queries: DataFrame) -> DataFrame:
     """One row over (tokens_used, model, cache_hit): hits are counted as queries and cost nothing; monthly is 100,000 queries."""
     rows = queries.withColumn("cost", n.query_cost("tokens_used", "model", "cache_hit"))

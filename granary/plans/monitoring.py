@@ -121,6 +121,20 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.audit_lines(events(spark, sf_dir), "query", ["user_id", "event_type"])
 
 
+@query("""SELECT concat('{"event":"ingestion","timestamp":"2025-01-01T00:00:00Z","user_id":"loader","tenant_id":"', source, '","doc_id":', doc_id, '}') AS value FROM documents
+UNION ALL SELECT concat('{"event":"access_violation","timestamp":"2025-01-01T00:00:00Z","user_id":"user-0","tenant_id":"', source, '","attempted_doc_id":', doc_id, '}') FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)
+UNION ALL SELECT concat('{"event":"query","timestamp":"2025-01-01T00:00:00Z","user_id":"user-1","tenant_id":"all","query":"', role, '","retrieved_doc_ids":[', conv_id, ',', turn, '],"retrieved_count":2}') FROM conversations""")
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all three kinds: every document's ingestion, a user's attempts at documents that no grant covers, and every turn as a query."""
+    at = F.lit("2025-01-01 00:00:00").alias("ts")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tenant_id"), at)
+    grants = table(spark, sf_dir, "labels").filter("toxic = 0").select("doc_id")
+    loaded = docs.withColumn("user_id", F.lit("loader"))
+    refused = governance.denied(docs.withColumn("user_id", F.lit("user-0")), grants, ["doc_id"]).withColumnRenamed("doc_id", "attempted_doc_id")
+    asked = table(spark, sf_dir, "conversations").select(at, F.lit("user-1").alias("user_id"), F.lit("all").alias("tenant_id"), F.col("role").alias("query"), F.array("conv_id", "turn").alias("retrieved_doc_ids"))
+    return governance.audit(loaded, "ingestion").unionAll(governance.audit(refused, "access_violation")).unionAll(governance.audit(asked, "query"))
+
+
 @query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), -1) AS k FROM events")
 def json_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON within other text."""

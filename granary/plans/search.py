@@ -403,6 +403,17 @@ def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.compare(rows.groupBy("run_id").agg(F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg")), "a", "b")
 
 
+@query(f"""WITH {METRICS} SELECT {', '.join(f'avg({c}) FILTER (query_id >= 20) - avg({c}) FILTER (query_id < 20) AS delta_mean_{c}' for c in ('score', 'recall', 'precision', 'mrr', 'ndcg'))},
+count(*) FILTER (query_id >= 20) - count(*) FILTER (query_id < 20) AS delta_n_queries, quantile_cont(latency_ms, 0.5) FILTER (query_id >= 20) - quantile_cont(latency_ms, 0.5) FILTER (query_id < 20) AS delta_p50_latency FROM mt""")
+def eval_stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs written to the stored tables and compared from there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    rows = cut_lineage(eval_metrics(spark, sf_dir))
+    for run, part in (("a", rows.filter("query_id < 20")), ("b", rows.filter("query_id >= 20"))):
+        evaluate.save_run(part, path, run, "1", "2025-01-01 00:00:00")
+    return evaluate.compare_stored(spark, path, "a", "b").drop("delta_p95_latency", "delta_p99_latency")
+
+
 # --- drift
 
 @query(f"WITH {CENTRES} SELECT label, unnest(centroid) AS x, generate_subscripts(centroid, 1)::INTEGER AS i FROM ce")
