@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.runtime import cut_lineage
-
-BROADCAST_BYTES = 64 << 20
+from granary.runtime import sized
 
 
 def cells(keyed: DataFrame, block: int) -> DataFrame:
@@ -20,8 +18,8 @@ def cells(keyed: DataFrame, block: int) -> DataFrame:
     Others are counted first, so that their lists are never gathered, and cut into blocks by the hash of the id. Block x meets block y in the cell (x, y), with sides 1 and 2;
     in the cell (x, x) its own rows, of side 0, meet each other."""
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    hot = cut_lineage(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    split = keyed.join(F.broadcast(hot) if hot.count() * 16 <= BROADCAST_BYTES else hot, "key", "left")
+    hot = sized(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), 16)
+    split = keyed.join(hot, "key", "left")
     few = split.filter("blocks is null").groupBy("key").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
     flat = few.select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
     own = F.expr("pmod(xxhash64(id), blocks)").cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from granary.functions.numeric import idf, tf_part
 from granary.functions.text import tokens
-from granary.runtime import cut_lineage
+from granary.runtime import cut_lineage, sized
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,9 +43,14 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def terms_of(queries: DataFrame) -> DataFrame:
+    """(term) of all queries, counted and hinted for broadcast if they are few: else a plan made before their number is known shuffles every word of the corpus to them."""
+    return sized(queries.select(F.explode(tokens("text")).alias("term")).distinct(), 64)
+
+
 def entries(docs: DataFrame, wanted: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, len, tf): an inverted index in one pass over the texts. Each document has one more row, without a term, so that lengths and
-    the number of documents come from the index alone. ``wanted`` (term): only these terms, dropped before anything is shuffled."""
+    the number of documents come from the index alone. ``wanted`` (term): only these terms, from :func:`terms_of`, dropped before anything is shuffled."""
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("ts"))
     flat = words.select("doc_id", F.size("ts").alias("len"), F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("term"))
     if wanted is not None:
@@ -60,10 +65,10 @@ def store(index: DataFrame, path: str, buckets: int | None = None) -> None:
     order.write.mode("overwrite").parquet(path)
 
 
-def search(index: DataFrame, queries: DataFrame, top_k: int | None = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank) for rows (query_id, text) over :func:`entries`, stored or not. Ties go by doc_id."""
+def search(index: DataFrame, queries: DataFrame, top_k: int | None = 10, k1: float = 1.5, b: float = 0.75, wanted: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) for rows (query_id, text) over :func:`entries`, stored or not. Ties go by doc_id. ``wanted``: the queries' terms, if known."""
     terms = asked(queries)
-    hits = index.filter("term is not null").join(terms.select("term").distinct(), "term", "left_semi")
+    hits = index.filter("term is not null").join(terms_of(queries) if wanted is None else wanted, "term", "left_semi")
     size = index.filter("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).alias("average"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = terms.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", (F.col("qtf") * idf("df", "n")).alias("w"), "average")
@@ -73,8 +78,8 @@ def search(index: DataFrame, queries: DataFrame, top_k: int | None = 10, k1: flo
 
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int | None = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """As :func:`search` where no index is stored: the queries' terms are indexed in one pass over the texts and written out."""
-    index = cut_lineage(entries(docs, asked(queries).select("term").distinct(), id_col, text_col))
-    return search(index, queries, top_k, k1, b)
+    wanted = terms_of(queries)
+    return search(cut_lineage(entries(docs, wanted, id_col, text_col)), queries, top_k, k1, b, wanted)
 
 
 def ranked(scored: DataFrame, top_k: int | None, score: str = "score", id_col: str = "doc_id", by: tuple[str, ...] = ("query_id",)) -> DataFrame:

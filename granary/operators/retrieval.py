@@ -150,7 +150,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, top_k: int = 10, bm25_weights:
     near = knn(corpus, queries, 2 * top_k, "doc_id").select("query_id", F.col("id").alias("doc_id"), F.col("score").alias("vector_score"))
     typed = queries.select("query_id", (t.query_type("text") if use_classifier else F.lit("general")).alias("query_type"))
     terms = lexical.asked(queries)
-    hits = lexical.entries(corpus if texts is None else texts, terms.select("term").distinct()).filter("term is not null")
+    hits = lexical.entries(corpus if texts is None else texts, lexical.terms_of(queries)).filter("term is not null")
     near = cut_lineage(near)
     met = near.join(terms, "query_id").join(hits, ["doc_id", "term"])
     if bm25_weights:

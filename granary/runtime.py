@@ -16,6 +16,7 @@ from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -84,6 +85,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written out and counted: hinted for broadcast if its rows take no more than ``limit`` bytes, else left to shuffle joins."""
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() * row_bytes <= limit else stored
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate results, wherever it lies."""
     sc = spark.sparkContext
