@@ -116,7 +116,7 @@ def fuse(scores: DataFrame, method: str = "weighted_sum", vector_weight: float =
     if method == "weighted_sum":
         part = scores.withColumn("x", min_max("score", *key))
     elif method == "rrf":
-        part = scores.withColumn("x", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "id")))
+        part = scores.withColumn("x", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(F.round("score", 9)), "id")))
     else:
         raise ValueError(f"fusion by {method} isn't defined")
     side = part.groupBy("query_id", "id").agg(
