@@ -14,7 +14,7 @@ from granary.functions import text as t
 from granary.operators import lexical
 from granary.operators.lexical import ranked
 from granary.operators.vectors import blocks, centres, in_cells, products
-from granary.runtime import cut_lineage
+from granary.runtime import cut_lineage, sized
 
 
 def where(df: DataFrame, filters: dict[str, object] | None = None, contains: str | None = None, text_col: str = "text") -> DataFrame:
@@ -27,10 +27,11 @@ def where(df: DataFrame, filters: dict[str, object] | None = None, contains: str
 def knn(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, cos, score, rank): exact nearest by cosine of each query (query_id, qvec). score = 1 - distance / 2.
 
-    Both sides are gathered into blocks of vectors where they lie, blocks are crossed, and each pair of blocks is one
+    Both sides are gathered into blocks of vectors where they lie, those of the queries are written out and, if few, broadcast, blocks are crossed, and each pair of blocks is one
     matrix product that gives at most the k best of every query (more on ties), so the shuffle has k rows for each query and
     corpus block, whatever the block's size. A vector that is null or 0 is near nothing."""
-    crossed = blocks(corpus, id_col, vector_col, "id", "v").crossJoin(blocks(queries, "query_id", "qvec", "query_id", "q"))
+    asked = sized(blocks(queries, "query_id", "qvec", "query_id", "q"), 2 << 20)
+    crossed = blocks(corpus, id_col, vector_col, "id", "v").crossJoin(asked)
     types = {"query_id": queries.schema["query_id"].dataType, "id": corpus.schema[id_col].dataType}
 
     def best(i: np.ndarray, cos: np.ndarray) -> np.ndarray:
@@ -146,12 +147,13 @@ def hybrid(corpus: DataFrame, queries: DataFrame, top_k: int = 10, bm25_weights:
 
     ``corpus`` (doc_id, text, embedding) and ``queries`` (query_id, text, qvec); ``texts`` (doc_id, text) where they lie apart from the vectors. The 2k nearest of
     each query are scored lexically and weighed by its type; a document that isn't among them can't enter. Lexical scores come from an
-    index of the queries' terms, so texts are read once and never joined."""
+    index of the queries' terms over the texts of these nearest documents, which are picked out where they lie if they are few."""
     near = knn(corpus, queries, 2 * top_k, "doc_id").select("query_id", F.col("id").alias("doc_id"), F.col("score").alias("vector_score"))
     typed = queries.select("query_id", (t.query_type("text") if use_classifier else F.lit("general")).alias("query_type"))
     terms = lexical.asked(queries)
-    hits = lexical.entries(corpus if texts is None else texts, lexical.terms_of(queries)).filter("term is not null")
     near = cut_lineage(near)
+    close = (corpus if texts is None else texts).join(sized(near.select("doc_id").distinct(), 16), "doc_id", "left_semi")
+    hits = lexical.entries(close, lexical.terms_of(queries)).filter("term is not null")
     met = near.join(terms, "query_id").join(hits, ["doc_id", "term"])
     if bm25_weights:
         part = F.sum(F.col("qtf") * n.tf_part("tf", "len", F.lit(500.0), 1.5, 0.75))

@@ -13,7 +13,7 @@ from granary.functions import text as t
 from granary.operators import context, corpus, drift, embedding, evaluate, lexical, retrieval, service
 from granary.plans import sql
 from granary.plans.registry import query
-from granary.runtime import checkpoint_dir, cut_lineage, table
+from granary.runtime import checkpoint_dir, cut_lineage, sized, table
 
 WORDS = "the orantion of und the hehely system"
 
@@ -214,10 +214,15 @@ def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- fusion
 
-def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id, system, score): the 50 best of both systems for every item."""
+def best_by_bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """BM25's ``k`` best of every item, hinted for broadcast where they are few, so that texts that are joined to them stay where they lie."""
+    return sized(lexical.bm25(documents(spark, sf_dir), items(spark, sf_dir), k), 64)
+
+
+def lists(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, system, score): the 50 best of both systems for every item; ``found``: BM25's, if known."""
     near = retrieval.knn(vectors(spark, sf_dir), item_vectors(spark, sf_dir).select("query_id", "qvec"), 50)
-    found = lexical.bm25(documents(spark, sf_dir), items(spark, sf_dir), 50)
+    found = lexical.bm25(documents(spark, sf_dir), items(spark, sf_dir), 50) if found is None else found
     return near.select("query_id", "id", F.lit("vector").alias("system"), "score").unionAll(found.select("query_id", F.col("doc_id").alias("id"), F.lit("lexical").alias("system"), "score"))
 
 
@@ -267,8 +272,9 @@ def rerank_lightweight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, id, query, text, source, combined_score): BM25's 20 best of each item, with texts."""
-    best = lexical.bm25(documents(spark, sf_dir), items(spark, sf_dir), 20).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("combined_score"))
-    return best.join(items(spark, sf_dir).withColumnRenamed("text", "query"), "query_id").join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source"), "id")
+    best = best_by_bm25(spark, sf_dir, 20).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("combined_score"))
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source").join(best, "id")
+    return texts.join(items(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
 
 
 CANDIDATES = f"""{sql.bm25(sql.BENCHMARK, 20)}, ca AS (SELECT bm.query_id, bm.doc_id AS id, bm.score AS combined_score, {sql.overlap('b.text', 'd.text')} AS o
@@ -332,8 +338,7 @@ FROM bm JOIN documents d USING (doc_id) GROUP BY query_id)"""
 
 @query(f"WITH {SIMPLE} SELECT * FROM sc")
 def context_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = lexical.bm25(documents(spark, sf_dir), items(spark, sf_dir), 3)
-    rows = best.join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").withColumn("chunk_id", F.lit(None).cast("string"))
+    rows = documents(spark, sf_dir).select("doc_id", "text").join(best_by_bm25(spark, sf_dir, 3), "doc_id").withColumn("chunk_id", F.lit(None).cast("string"))
     return context.simple_context(rows)
 
 
@@ -372,8 +377,9 @@ def answer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, retrieved, expected, latency_ms): reciprocal rank fusion held against BM25's five best."""
-    fused = fuse_rrf(spark, sf_dir).filter("rank <= 10").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda r: r["id"]).alias("retrieved"))
-    best = lexical.bm25(documents(spark, sf_dir), items(spark, sf_dir), 5).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("expected"))
+    found = lexical.bm25(documents(spark, sf_dir), items(spark, sf_dir), 50)
+    fused = retrieval.fuse(lists(spark, sf_dir, found), "rrf").filter("rank <= 10").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda r: r["id"]).alias("retrieved"))
+    best = found.filter("rank <= 5").groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("expected"))
     return fused.join(best, "query_id").withColumn("latency_ms", F.col("query_id").cast("double") * 1.5)
 
 

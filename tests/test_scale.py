@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from granary.operators import retrieval
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from granary.operators import lexical, retrieval
 
 
 def test_rrf_ranks_ties_by_id(spark):
@@ -10,3 +15,28 @@ def test_rrf_ranks_ties_by_id(spark):
     rows = [(0, 1, "vector", 0.5), (0, 2, "vector", 0.5 + 1e-12), (0, 1, "lexical", 3.0), (0, 2, "lexical", 3.0 + 1e-12)]
     out = retrieval.fuse(spark.createDataFrame(rows, "query_id int, id int, system string, score double"), "rrf").collect()
     assert {r["id"]: round(r["fused_score"], 12) for r in out} == {1: round(1 / 61, 12), 2: round(1 / 62, 12)}
+
+
+def test_bm25_scores_where_texts_lie(spark):
+    """No pair of query and document is shuffled: each task passes on at most k rows of a query, among many ties those of the least ids."""
+    docs = spark.range(4000, numPartitions=4).select("id", F.expr("if(id % 2 = 0, 'red fish', concat('blue fish ', id))").alias("text")).toDF("doc_id", "text")
+    asked = spark.createDataFrame([(7, "red red FISH"), (8, "green"), (9, "blue fish fish")], "query_id int, text string")
+    new = sorted(map(tuple, lexical.bm25(docs, asked, 5).collect()))
+    old = sorted(map(tuple, lexical.search(lexical.entries(docs), asked, 5).collect()))
+    assert [(q, d, r) for q, d, _, r in new] == [(q, d, r) for q, d, _, r in old] and len(new) == 10
+    assert [s for *_, s, _ in new] == pytest.approx([s for *_, s, _ in old])
+    assert [d for q, d, _, _ in new if q == 7] == [0, 2, 4, 6, 8]
+    best = lexical.Best(2, 1)
+    for lo in range(0, 600_000, 100_000):
+        best.add(pa.array(range(lo, lo + 100_000)), np.ones((100_000, 1)))
+        assert best.held <= best.limit + 100_000
+    assert [b.to_pydict() for b in best.rows(pa.array(["q"]), ["q", "d", "s"])] == [{"q": ["q", "q"], "d": [0, 1], "s": [1.0, 1.0]}]
+
+
+def test_bm25_of_queries_beyond_the_bound(spark, monkeypatch):
+    """Too many terms for a task go by the shuffled index, with the same rows."""
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "b"), (2, "c a")], "query_id int, text string")
+    want = lexical.bm25(docs, asked, 3).collect()
+    monkeypatch.setattr(lexical.Asked, "of", staticmethod(lambda queries: None))
+    assert sorted(map(str, lexical.bm25(docs, asked, 3).collect())) == sorted(map(str, want)) and len(want) == 4
