@@ -90,8 +90,8 @@ def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT DISTINCT query_id, unnest({sql.tokens('text')}) AS term FROM q)
 SELECT query_id, doc_id, string_agg(term || '=' || tf, '|' ORDER BY term) AS matches FROM p JOIN a USING (term) GROUP BY ALL""")
 def term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lexical.term_matches(postings_tf(spark, sf_dir), items(spark, sf_dir))
-    return rows.select("query_id", "doc_id", F.array_join(F.transform(F.map_entries("term_matches"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|").alias("matches"))
+    rows = lexical.term_matches(documents(spark, sf_dir), items(spark, sf_dir), joined=True)
+    return rows.withColumnRenamed("term_matches", "matches")
 
 
 # --- queries as text

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import lexical, retrieval
+from granary.functions import text as t
+from granary.operators import chunking, governance, lexical, retrieval
+from granary.streaming import events as streams
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rrf_ranks_ties_by_id(spark):
@@ -40,3 +47,15 @@ def test_bm25_of_queries_beyond_the_bound(spark, monkeypatch):
     want = lexical.bm25(docs, asked, 3).collect()
     monkeypatch.setattr(lexical.Asked, "of", staticmethod(lambda queries: None))
     assert sorted(map(str, lexical.bm25(docs, asked, 3).collect())) == sorted(map(str, want)) and len(want) == 4
+
+
+def test_term_matches_without_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "b A b é"), (2, None), (3, "c\u00a0c c")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "É b b a"), (2, "c x"), (3, "")], "query_id int, text string")
+    got = lexical.term_matches(docs, asked)
+    assert "Exchange" not in plan(got)
+    assert {(r[0], r[1], tuple(sorted(r[2].items()))) for r in got.collect()} == {(1, 1, (("a", 1), ("b", 2), ("é", 1))), (2, 3, (("c", 1),))}
+    joined = {tuple(r) for r in lexical.term_matches(docs, asked, joined=True).collect()}
+    assert joined == {(1, 1, "a=1|b=2|é=1"), (2, 3, "c=1")}
+    monkeypatch.setattr(lexical.Asked, "of", staticmethod(lambda queries: None))
+    assert {tuple(r) for r in lexical.term_matches(docs, asked, joined=True).collect()} == joined
