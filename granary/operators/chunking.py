@@ -10,12 +10,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from granary.functions import text as t
-from granary.runtime import ship
+from granary.runtime import frugal, ship
 
 CHUNK = "doc_id string, chunk_id string, chunk_index int, text string, titles array<string>, sections array<string>, token_count int"
 
@@ -143,37 +145,97 @@ def sentence_chunks(docs: DataFrame, limit: int = 500, overlap: int = 1, count:
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), t.sentences(text_col).alias("parts")).mapInPandas(run, "doc_id string, chunk_index int, text string, token_count int")
 
 
-def windows(size: Column, limit: int, overlap: int) -> Column:
-    """Starts of the token windows over ``size`` tokens."""
+def token_windows(docs: DataFrame, limit: int = 500, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, chunk_index, text, token_count) of sliding word windows. A document is split once, in Python, which splits bytes at the white space that Java's \\s is."""
     if overlap >= limit:
         raise ValueError("the overlap must be less than the window")
-    step = limit - overlap
-    last = F.greatest(F.ceil((size - overlap) / F.lit(step)) - 1, F.lit(0)).cast("int")
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
+    ship(docs.sparkSession)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("token_count", T.IntegerType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, index, texts, sizes = [], [], [], []
+            for row, text in enumerate(batch.column("text")):
+                ws = text.as_py().split()
+                for i, lo in enumerate(range(0, max(len(ws) - overlap, min(len(ws), 1)), limit - overlap)):
+                    part = ws[lo : lo + limit]
+                    at.append(row)
+                    index.append(i)
+                    texts.append(b" ".join(part))
+                    sizes.append(len(part))
+            yield pa.record_batch([batch.column("id").take(pa.array(at, pa.int64())), pa.array(index, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32())], schema.names)
 
-def token_windows(docs: DataFrame, limit: int = 500, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chunk_index, text, token_count) of sliding word windows, without Python."""
-    ws = docs.select(F.col(id_col).alias("doc_id"), t.words(text_col).alias("ws"))
-    cut = ws.select("doc_id", "ws", F.posexplode(windows(F.size("ws"), limit, overlap)).alias("chunk_index", "at"))
-    part = F.slice("ws", F.col("at") + 1, F.lit(limit))
-    return cut.select("doc_id", "chunk_index", F.array_join(part, " ").alias("text"), F.size(part).alias("token_count"))
+    ready = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return ready.mapInArrow(frugal(run), schema)
 
 
 def size_quality(chunks: DataFrame, small: int = 50, large: int = 1500) -> DataFrame:
     """One row of statistics over token_count; the deviation is the population's."""
+    return chunks.agg(*_sizes(small, large))
+
+
+def _sizes(small: int = 50, large: int = 1500) -> tuple[Column, ...]:
     x = F.col("token_count")
-    return chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.avg(x).alias("avg_tokens"), F.min(x).alias("min_tokens"), F.max(x).alias("max_tokens"), F.stddev_pop(x).alias("std_tokens"), F.count_if(x < small).alias("too_small"), F.count_if(x > large).alias("too_large"))
+    return (F.count(F.lit(1)).alias("total_chunks"), F.avg(x).alias("avg_tokens"), F.min(x).alias("min_tokens"), F.max(x).alias("max_tokens"), F.stddev_pop(x).alias("std_tokens"), F.count_if(x < small).alias("too_small"), F.count_if(x > large).alias("too_large"))
 
 
 def overlap_quality(chunks: DataFrame, span: int = 50) -> DataFrame:
     """One row: mean share of words that a chunk's end has in common with the next one's start. 1 below two chunks, 0 if no pair counts."""
-    ws = chunks.withColumn("ws", t.tokens("text"))
-    tail = F.array_distinct(F.slice("ws", F.greatest(F.size("ws") - span + 1, F.lit(1)), F.lit(span)))
-    after = F.lead(F.array_distinct(F.slice("ws", 1, span))).over(W.partitionBy("doc_id").orderBy("chunk_index"))
-    pairs = ws.select(tail.alias("a"), after.alias("b"))
-    share = F.when((F.size("a") > 0) & (F.size("b") > 0), F.size(F.array_intersect("a", "b")) / F.least(F.size("a"), F.size("b")))
-    return pairs.agg(F.when(F.count(F.lit(1)) < 2, F.lit(1.0)).otherwise(F.coalesce(F.avg(share), F.lit(0.0))).alias("overlap_quality"))
+    return _followed(measured(chunks, span)).agg(_shared())
+
+
+SENTENCE = re.compile(rb"(?<=[.!?])\s+")
+
+
+def cohering(text: bytes) -> float:
+    """As :func:`granary.functions.text.coherence`, of a lower-cased text."""
+    sets = [s for s in (set(p.split()) for p in SENTENCE.split(text)) if s]
+    pairs = [len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:], strict=False)]
+    return sum(pairs) / len(pairs) if pairs else 1.0
+
+
+def coherence(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and each text's coherence, null for a null text. Sentences are split once, in Python."""
+    ship(docs.sparkSession)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("coherence", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if (x := text.as_py()) is None else cohering(x) for text in batch.column("__low")]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.float64())], schema.names)
+
+    return docs.select(*keep, F.lower(text_col).cast("binary").alias("__low")).mapInArrow(frugal(run), schema)
+
+
+def measured(chunks: DataFrame, span: int = 50, text_col: str = "text") -> DataFrame:
+    """(doc_id, chunk_index, token_count, coherence, head, tail): the distinct words of a chunk's first and last ``span``, in one pass over the texts."""
+    ship(chunks.sparkSession)
+    keep = ["doc_id", "chunk_index", *(["token_count"] if "token_count" in chunks.columns else [])]
+    schema = T.StructType([*chunks.select(*keep).schema.fields, T.StructField("coherence", T.DoubleType()), *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("head", "tail"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            calm, head, tail = [], [], []
+            for text in batch.column("__low"):
+                x = text.as_py()
+                ws = (x or b"").split()
+                calm.append(None if x is None else cohering(x))
+                head.append(list(dict.fromkeys(ws[:span])))
+                tail.append(list(dict.fromkeys(ws[-span:])))
+            lists = (pa.array(x, pa.list_(pa.binary())).cast(pa.list_(pa.string())) for x in (head, tail))
+            yield pa.record_batch([*batch.columns[:-1], pa.array(calm, pa.float64()), *lists], schema.names)
+
+    return chunks.select(*keep, F.lower(text_col).cast("binary").alias("__low")).mapInArrow(frugal(run), schema)
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("after", F.lead("head").over(W.partitionBy("doc_id").orderBy("chunk_index")))
+
+
+def _shared() -> Column:
+    a, b = F.size("tail"), F.size("after")
+    share = F.when((a > 0) & (b > 0), F.size(F.array_intersect("tail", "after")) / F.least(a, b))
+    return F.when(F.count(F.lit(1)) < 2, F.lit(1.0)).otherwise(F.coalesce(F.avg(share), F.lit(0.0))).alias("overlap_quality")
 
 
 def recommendations(small: int = 50, large: int = 1500, target: int = 800) -> Column:
@@ -191,6 +253,6 @@ def recommendations(small: int = 50, large: int = 1500, target: int = 800) -> Co
 
 
 def quality_report(chunks: DataFrame) -> DataFrame:
-    """All statistics of a chunk table with the advice they lead to; coherence over all chunks."""
-    calm = chunks.agg(F.avg(t.coherence("text")).alias("avg_coherence"))
-    return size_quality(chunks).crossJoin(overlap_quality(chunks)).crossJoin(calm).withColumn("recommendations", recommendations())
+    """All statistics of a chunk table with the advice they lead to; coherence over all chunks. The texts are read once."""
+    rows = _followed(measured(chunks)).agg(*_sizes(), _shared(), F.avg("coherence").alias("avg_coherence"))
+    return rows.withColumn("recommendations", recommendations())

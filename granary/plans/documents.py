@@ -157,7 +157,7 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT doc_id, list_transform(list_filter(list_transform({sql.plain_sentences('text')}, lambda s: {sql.strip('s')}), lambda s: s <> ''), lambda s: list_distinct({sql.tokens('s')})) AS sets FROM documents)
 SELECT doc_id, CASE WHEN len(sets) < 2 THEN 1.0::DOUBLE ELSE list_avg(list_transform(range(1, len(sets)), lambda i: len(list_intersect(sets[i], sets[i + 1])) / least(len(sets[i]), len(sets[i + 1]))::DOUBLE)) END AS coherence FROM s""")
 def sentence_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", t.coherence("text").alias("coherence"))
+    return chunking.coherence(documents(spark, sf_dir), "doc_id")
 
 
 def _coherence(x: str) -> str:

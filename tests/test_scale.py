@@ -59,3 +59,12 @@ def test_term_matches_without_shuffle(spark, monkeypatch):
     assert joined == {(1, 1, "a=1|b=2|é=1"), (2, 3, "c=1")}
     monkeypatch.setattr(lexical.Asked, "of", staticmethod(lambda queries: None))
     assert {tuple(r) for r in lexical.term_matches(docs, asked, joined=True).collect()} == joined
+
+
+def test_coherence_splits_once(spark):
+    texts = ["One two. Two three! four", "", None, " . ", "A.B c. C  b?\n\nB", "Σας ΣΑΣ. σας! x\u00a0y. X\u00a0Y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = docs.select("doc_id", t.coherence("text").alias("coherence"))
+    got = chunking.coherence(docs, "doc_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "transform(" not in plan(got)
