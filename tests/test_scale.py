@@ -68,3 +68,13 @@ def test_coherence_splits_once(spark):
     got = chunking.coherence(docs, "doc_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "transform(" not in plan(got)
+
+
+def test_quality_report_reads_texts_once(spark):
+    chunks = spark.createDataFrame([("a", 0, "x y. y z", 4), ("a", 1, "Z q", 2), ("b", 0, None, 0)], "doc_id string, chunk_index int, text string, token_count int")
+    report = chunking.quality_report(chunks)
+    assert plan(report).split("== Initial Plan ==")[0].count("MapInArrow") == 1 and "BroadcastNestedLoopJoin" not in plan(report)
+    (r,) = report.collect()
+    assert (r["total_chunks"], r["min_tokens"], r["max_tokens"], r["too_small"]) == (3, 0, 4, 3)
+    assert r["overlap_quality"] == 0.5 and r["avg_coherence"] == 0.5
+    assert chunking.overlap_quality(chunks).collect() == [(0.5,)]
