@@ -78,3 +78,23 @@ def test_quality_report_reads_texts_once(spark):
     assert (r["total_chunks"], r["min_tokens"], r["max_tokens"], r["too_small"]) == (3, 0, 4, 3)
     assert r["overlap_quality"] == 0.5 and r["avg_coherence"] == 0.5
     assert chunking.overlap_quality(chunks).collect() == [(0.5,)]
+
+
+def test_breaker_leaves_in_pieces():
+    class State:
+        exists = False
+
+        def update(self, values):
+            self.get, self.exists = values, True
+
+    calls = pd.DataFrame({"ts": pd.to_datetime("2024-01-01") + pd.to_timedelta(np.random.default_rng(1).integers(0, 10**6, 45_000), unit="s"), "ok": np.random.default_rng(2).random(45_000) < 0.7})
+    state = State()
+    parts = list(streams.replay(("llm",), iter([calls[:20_000], calls[20_000:]]), state, governance.BREAKERS))
+    assert max(map(len, parts)) <= 10_000
+    b, want = governance.Breaker(*governance.BREAKERS["llm"]), []
+    rows = calls.sort_values(["ts", "ok"], kind="stable")
+    for at, ok in zip(rows["ts"], rows["ok"], strict=True):
+        want.append((at, ok, b.call(at.timestamp(), ok), b.state))
+    out = pd.concat(parts)
+    assert list(out[["ts", "ok", "allowed", "state"]].itertuples(index=False, name=None)) == want
+    assert state.get == (b.state, b.count, b.last, b.good)
