@@ -100,6 +100,16 @@ def test_breaker_leaves_in_pieces():
     assert state.get == (b.state, b.count, b.last, b.good)
 
 
+def test_matches_grow_in_many_parts(spark):
+    """All sequences pass one vertex; they are spread over tasks before they grow, and no step with few edges is shuffled to."""
+    v = [("n", "N", "n", {})] + [(f"a{i}", "A", "", {}) for i in range(60)] + [(f"b{i}", "B", "", {}) for i in range(50)]
+    e = [(f"a{i}", "n", "X", {}) for i in range(60)] + [(f"b{i}", "n", "Y", {}) for i in range(50)]
+    vs, es = spark.createDataFrame(v, "id string, type string, name string, properties map<string,string>"), spark.createDataFrame(e, "source_id string, target_id string, type string, properties map<string,string>")
+    found = graph.match(vs, es, [("A", "X"), ("N", "Y"), ("B", None)]).withColumn("part", F.spark_partition_id())
+    assert found.select("ids").distinct().count() == found.count() == 3000
+    assert found.select("part").distinct().count() > 2 and "SortMergeJoin" not in plan(found)
+
+
 def test_stored_index_is_sharded_by_document(spark, tmp_path):
     """Counting and storing shuffle nothing, and a search scores documents whose entries lie in several files or tasks."""
     docs = spark.createDataFrame([(i, f"red w{i % 7} fish fish" if i % 3 else "blue") for i in range(300)] + [(1000, None)], "doc_id int, text string").repartition(5)
